@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from courtline.catalog.ctes import sql
-from courtline.catalog.registry import CUTOFF_DAY, FEATURE_DAY, query, rating_history
-from courtline.catalog.shaping import ROLLING_SQL, field_pairs, rolling, rounded
+from courtline.catalog.registry import CUTOFF_DAY, FEATURE_DAY, query, rating_history, trailing_table
+from courtline.catalog.shaping import ROLLING_SQL, field_pairs, rounded
 from courtline.functions.text import path_segment
 from courtline.operators.games import team_games
 from courtline.operators.history import recent_games, steps, with_both_histories
@@ -80,7 +80,7 @@ def _(spark, sf):
     "contests", "rolling"))
 def _(spark, sf):
     games = t.game_log(spark, sf).select("game_id", "season", "day_num", "w_id", "l_id")
-    stats = rolling(spark, sf)
+    stats = trailing_table(spark, sf)
     out = trailing_of_side(trailing_of_side(games, stats, "w"), stats, "l")
     return rounded(out.select("game_id", *NUMERIC), NUMERIC)
 
@@ -103,7 +103,7 @@ def _(spark, sf):
     f"""select {ROLLING_SQL} from (select *, rank() over (partition by season, team order by day_num desc) as rk
     from rolling where day_num < {CUTOFF_DAY}) where rk = 1""", "rolling"))
 def _(spark, sf):
-    return rounded(latest(rolling(spark, sf), ["season", "team"], "day_num", before=CUTOFF_DAY), TRAILING)
+    return rounded(latest(trailing_table(spark, sf), ["season", "team"], "day_num", before=CUTOFF_DAY), TRAILING)
 
 
 _UPCOMING_SQL = sql(
@@ -125,7 +125,7 @@ _UPCOMING_SQL = sql(
 
 def upcoming(spark, sf):
     return upcoming_features(
-        field_pairs(spark, sf), t.teams(spark, sf), t.tenures(spark, sf), rolling(spark, sf), rating_history(spark, sf),
+        field_pairs(spark, sf), t.teams(spark, sf), t.tenures(spark, sf), trailing_table(spark, sf), rating_history(spark, sf),
         CUTOFF_DAY, FEATURE_DAY,
     )
 
@@ -136,7 +136,7 @@ def _(spark, sf):
 
 
 def complete_rows(spark, sf):
-    return past_features(t.game_log(spark, sf), t.tenures(spark, sf), rolling(spark, sf), rating_history(spark, sf))
+    return past_features(t.game_log(spark, sf), t.tenures(spark, sf), trailing_table(spark, sf), rating_history(spark, sf))
 
 
 FEATURE_ROW_SQL = f"""select c.game_id, c.season, c.day_num, c.w_id, c.l_id, c.w_score, c.l_score, wc.coach as w_coach,

@@ -9,7 +9,7 @@ from courtline.catalog.ctes import sql
 from courtline.catalog.joining import _COMPLETE, FEATURE_ROW_SQL, complete_rows, predictions, upcoming
 from courtline.catalog.registry import SEQUENCE_DAY, query
 from courtline.catalog.shaping import field_pairs, rounded
-from courtline.operators.indexing import fit_bounds, frequency_index, hash_bucket, scaled, with_index
+from courtline.operators.indexing import fit_bounds, frequency_index, hash_bucket, scaled_sql, with_index
 from courtline.operators.matchups import submission_full
 from courtline.operators.rolling import stat_bounds
 from courtline.plans import models as m
@@ -80,8 +80,8 @@ def _(spark, sf):
     + " from facts f, (select " + ", ".join(f"min({s}) as lo_{s}, max({s}) as hi_{s}" for s in STATS) + " from facts) b", "facts"))
 def _(spark, sf):
     fitted = bounds(spark, sf)
-    return t.facts(spark, sf, opponent=False).select(
-        "game_id", "team", *[F.round(scaled(F.col(s), *fitted[s]), 6).alias(s) for s in STATS]
+    return t.facts(spark, sf, opponent=False).selectExpr(
+        "game_id", "team", *[f"round({scaled_sql(s, *fitted[s])}, 6) as {s}" for s in STATS]
     )
 
 

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from courtline.operators.ratings import rate_games
+from courtline.operators.rolling import trailing_stats
 from courtline.sources import tables
 from courtline.storage import kept_table
 
@@ -45,3 +46,12 @@ def rating_history(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark, sf_dir, "ratings", lambda: rate_games(tables.game_log(spark, sf_dir)), partition_by=("season",)
     )
     return kept.withColumn("season", kept["season"].cast("int"))
+
+
+def trailing_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trailing three-game statistics, kept by season for the plans that join them."""
+    kept = kept_table(
+        spark, sf_dir, "trailing", lambda: trailing_stats(tables.facts(spark, sf_dir, opponent=False)),
+        partition_by=("season",),
+    )
+    return kept.withColumn("season", kept["season"].cast("int"))

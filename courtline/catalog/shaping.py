@@ -21,7 +21,8 @@ ROLLING_SQL = ", ".join(["season", "day_num", "team", "outcome", *[f"round({c},
 
 
 def rounded(df: DataFrame, columns, places: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(c, places) for c in columns})
+    wanted = set(columns)
+    return df.selectExpr(*[f"round({c}, {places}) as {c}" if c in wanted else c for c in df.columns])
 
 
 def rolling(spark: SparkSession, sf: str) -> DataFrame:

@@ -16,17 +16,14 @@ def team_games(games: DataFrame, stats: tuple[str, ...] = STATS, opponent: bool
     ``stats`` names the counts to carry, so narrow uses read narrow columns.
     """
 
-    def side(own: str, other: str, outcome: str) -> Column:
-        fields = [
-            F.col(f"{own}_id").alias("team"), F.col(f"{other}_id").alias("opp"), F.lit(outcome).alias("outcome"),
-            F.col(f"{own}_score").alias("score"), *[F.col(f"{own}_{s}").alias(s) for s in stats],
-        ]
+    def side(own: str, other: str, outcome: str) -> str:
+        fields = [f"{own}_id as team", f"{other}_id as opp", f"'{outcome}' as outcome", f"{own}_score as score"]
+        fields += [f"{own}_{s} as {s}" for s in stats]
         if opponent:
-            fields += [F.col(f"{other}_score").alias("opp_score")]
-            fields += [F.col(f"{other}_{s}").alias(f"opp_{s}") for s in stats]
-        return F.struct(*fields)
+            fields += [f"{other}_score as opp_score", *[f"{other}_{s} as opp_{s}" for s in stats]]
+        return f"struct({', '.join(fields)})"
 
-    return games.select(*GAME_KEYS, F.inline(F.array(side("w", "l", "W"), side("l", "w", "L"))))
+    return games.selectExpr(*GAME_KEYS, f"inline(array({side('w', 'l', 'W')}, {side('l', 'w', 'L')}))")
 
 
 def game_ordinal(facts: DataFrame) -> DataFrame:

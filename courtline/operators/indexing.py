@@ -48,9 +48,9 @@ def fit_bounds(bounds: DataFrame) -> dict[str, tuple[float, float]]:
     return {s: (float(found[s][0] or 0), float(found[s][1] or 0)) for s in STATS}
 
 
-def scaled(value: Column, lo: float, hi: float) -> Column:
+def scaled_sql(value: str, lo: float, hi: float) -> str:
     """Min-max scaling without clipping; a constant count scales by 1."""
-    return (value - F.lit(lo)) / F.lit(hi - lo if hi > lo else 1.0)
+    return f"({value} - {lo!r}D) / {(hi - lo if hi > lo else 1.0)!r}D"
 
 
 def hash_bucket(key: Column, seed: int) -> Column:

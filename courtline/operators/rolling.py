@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from courtline.schemas import AVERAGED, RATIOS, STATS, TRAILING
@@ -15,21 +15,22 @@ def trailing_stats(facts: DataFrame, games: int = 3) -> DataFrame:
     outcome (combined map-side) carry everything the frame needs, and a window partition holds at
     most two rows per calendar day however many games a team played.
     """
+    counts = ("score", *STATS)
     totals = facts.groupBy("season", "team", "day_num", "outcome").agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in ("score", *STATS)]
+        F.count(F.lit(1)).alias("n"), *[F.expr(f"sum({c}) as {c}") for c in counts]
     )
-    team_season = Window.partitionBy("season", "team")
-    earlier = team_season.orderBy("day_num").rangeBetween(Window.unboundedPreceding, -1)
-    ranked = totals.withColumn("game_rank", F.coalesce(F.sum("n").over(earlier), F.lit(0)) + 1)
-    frame = team_season.orderBy("game_rank").rangeBetween(-games, -1)
-    framed = ranked.select(
-        "season", "day_num", "team", "outcome",
-        *[F.sum(c).over(frame).alias(c) for c in ("n", "score", *STATS)],
+    ranked = totals.selectExpr(
+        "*",
+        """coalesce(sum(n) over (partition by season, team order by day_num
+            range between unbounded preceding and 1 preceding), 0) + 1 as game_rank""",
     )
-    averages = {f"avg_{c}": F.try_divide(F.col(c), F.col("n")) for c in AVERAGED}
-    ratios = {out: F.try_divide(F.col(made), F.col(tried)) for out, made, tried in RATIOS}
-    values = {**averages, **ratios}
-    return framed.select("season", "day_num", "team", "outcome", *[values[c].alias(c) for c in TRAILING])
+    frame = f"(partition by season, team order by game_rank range between {games} preceding and 1 preceding)"
+    framed = ranked.selectExpr(
+        "season", "day_num", "team", "outcome", *[f"sum({c}) over {frame} as {c}" for c in ("n", *counts)]
+    )
+    values = {f"avg_{c}": f"try_divide({c}, n)" for c in AVERAGED}
+    values |= {out: f"try_divide({made}, {tried})" for out, made, tried in RATIOS}
+    return framed.selectExpr("season", "day_num", "team", "outcome", *[f"{values[c]} as {c}" for c in TRAILING])
 
 
 def stat_bounds(facts: DataFrame) -> DataFrame:

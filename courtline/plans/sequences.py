@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from courtline.operators.games import lower_id_won, pair_order, team_games
 from courtline.operators.history import games_before, recent_games, steps, with_both_histories
-from courtline.operators.indexing import dense_index, scaled, with_index
+from courtline.operators.indexing import dense_index, scaled_sql, with_index
 from courtline.schemas import STATS
 
 HISTORY = 5
@@ -41,30 +41,19 @@ def sequence_steps(sequences: DataFrame, bounds: Bounds) -> DataFrame:
     """Long form: per game and step, ids and scaled counts of both teams and of their opponents."""
     keys = ["game_id", "season", "label", "team_1", "team_2"]
     blocks = (("t1", "a", ""), ("o1", "a", "opp_"), ("t2", "b", ""), ("o2", "b", "opp_"))
-    columns = [
-        scaled(F.col(f"{game}.{prefix}{s}"), *bounds[s]).alias(f"{name}_{s}")
-        for name, game, prefix in blocks
-        for s in STATS
-    ]
-    return steps(sequences, keys).select(
-        *keys, "step",
-        F.col("a.day_num").alias("day_1"), F.col("a.opp").alias("opp_1"),
-        F.col("b.day_num").alias("day_2"), F.col("b.opp").alias("opp_2"),
-        *columns,
+    columns = [f"{scaled_sql(f'{game}.{prefix}{s}', *bounds[s])} as {name}_{s}" for name, game, prefix in blocks for s in STATS]
+    return steps(sequences, keys).selectExpr(
+        *keys, "step", "a.day_num as day_1", "a.opp as opp_1", "b.day_num as day_2", "b.opp as opp_2", *columns
     )
 
 
 def stat_vector(sequences: DataFrame, bounds: Bounds) -> DataFrame:
     """Scaled counts of all steps as one dense vector per game, step by step, block by block."""
 
-    def counts(game: Column, prefix: str) -> list[Column]:
-        return [scaled(game[f"{prefix}{s}"], *bounds[s]) for s in STATS]
-
-    both = F.zip_with(
-        "recent_1", "recent_2",
-        lambda a, b: F.array(*counts(a, ""), *counts(a, "opp_"), *counts(b, ""), *counts(b, "opp_")),
+    counts = [scaled_sql(f"{game}.{prefix}{s}", *bounds[s]) for game in "ab" for prefix in ("", "opp_") for s in STATS]
+    return sequences.withColumn(
+        "stats", array_to_vector(F.expr(f"flatten(zip_with(recent_1, recent_2, (a, b) -> array({', '.join(counts)})))"))
     )
-    return sequences.withColumn("stats", array_to_vector(F.flatten(both)))
 
 
 def team_vocabulary(teams: DataFrame) -> DataFrame:
