@@ -169,9 +169,9 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         select name, list_filter(string_split(name, ' '), lambda t: length(t) = list_max(list_transform(string_split(name, ' '), lambda u: length(u))))[1] as token
         from name_left"""),
     "match_pairs": (("name_left", "name_right", "tokens"), """
-        select name, stage, candidate from (
+        select name, stage, case when stage = 3 then token else name end as key, candidate from (
             select *, min(stage) over (partition by name) as best from (
-                select l.name, case when r.candidate = l.name then 1 when contains(r.candidate, l.name) then 2 else 3 end as stage, r.candidate
+                select l.name, l.token, case when r.candidate = l.name then 1 when contains(r.candidate, l.name) then 2 else 3 end as stage, r.candidate
                 from tokens l join name_right r on contains(r.candidate, l.token) or contains(r.candidate, l.name))
         ) where stage = best"""),
     "game_days": (("contests",), """

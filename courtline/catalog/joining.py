@@ -12,7 +12,7 @@ from courtline.operators.games import team_games
 from courtline.operators.history import recent_games, steps, with_both_histories
 from courtline.operators.ingest import pending
 from courtline.operators.lookups import both_names, coach_on_day, latest, team_ids, trailing_of_side
-from courtline.operators.matching import match_names, match_pairs, review_table
+from courtline.operators.matching import match_names, review_candidates
 from courtline.operators.matchups import orientations
 from courtline.operators.ratings import rating_before
 from courtline.plans.features import latest_trailing, past_features, side_columns, upcoming_features
@@ -238,32 +238,29 @@ def _(spark, sf):
     return _foreign_ids(spark, sf)[1]
 
 
-@query("j15_name_match", sql(
-    """select l.name, coalesce(m.stage, 0) as stage, coalesce(m.matches, 0) as matches,
+_MATCHED = """select l.name, coalesce(m.stage, 0) as stage, m.key, coalesce(m.matches, 0) as matches,
     case when m.matches = 1 then m.candidate end as "match", coalesce(m.matches, 0) > 1 as ambiguous from name_left l left join (
-        select name, max(stage) as stage, count(*) as matches, min(candidate) as candidate from match_pairs group by name) m
-    on m.name = l.name""", "name_left", "match_pairs"))
-def _(spark, sf):
-    return match_names(*t.name_lists(spark, sf))
+        select name, max(stage) as stage, max(key) as key, count(*) as matches, min(candidate) as candidate
+        from match_pairs group by name) m on m.name = l.name"""
 
 
-@query("j15_match_pairs", sql("select name, stage, candidate from match_pairs", "match_pairs"))
+@query("j15_name_match", sql(_MATCHED, "name_left", "match_pairs"))
 def _(spark, sf):
-    return match_pairs(*t.name_lists(spark, sf))
+    return match_names(*t.name_lists(spark, sf))
 
 
 @query("j15_parts_matched", sql(
-    """select p.p_partkey, p.p_name, m.stage, m.matches from part p join (
-        select name, max(stage) as stage, count(*) as matches from match_pairs group by name) m on m.name = p.p_name""", "match_pairs"))
+    f"select p.p_partkey, p.p_name, m.stage, m.matches from part p join ({_MATCHED}) m on m.name = p.p_name", "name_left", "match_pairs"))
 def _(spark, sf):
     """Every part row with the outcome of its name's match."""
     parts = t.table(spark, sf, "part").select("p_partkey", "p_name")
-    found = match_names(*t.name_lists(spark, sf)).filter("stage > 0").select(F.col("name").alias("p_name"), "stage", "matches")
+    found = match_names(*t.name_lists(spark, sf)).select(F.col("name").alias("p_name"), "stage", "matches")
     return parts.join(found, "p_name").select("p_partkey", "p_name", "stage", "matches")
 
 
-@query("j15_review_table", sql(
-    """select name, stage, candidate from match_pairs where name in (
+@query("j15_review_candidates", sql(
+    """select distinct key, candidate from match_pairs where name in (
         select name from match_pairs group by name having count(*) > 1)""", "match_pairs"))
 def _(spark, sf):
-    return review_table(*t.name_lists(spark, sf))
+    names, candidates = t.name_lists(spark, sf)
+    return review_candidates(match_names(names, candidates), candidates)

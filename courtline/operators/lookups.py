@@ -51,8 +51,11 @@ def trailing_of_side(games: DataFrame, rolling: DataFrame, side: str, how: str =
 
 
 def team_ids(rows: DataFrame, foreign: str, teams: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Translate a foreign id; returns the resolved rows and the quarantined rest."""
-    known = teams.select(F.col("team_id"), F.col("team_id").alias("known_id"))
-    joined = rows.join(known.withColumnRenamed("team_id", foreign), foreign, "left")
-    hit = joined.filter("known_id is not null").withColumnRenamed("known_id", "team_id")
-    return hit, joined.filter("known_id is null").drop("known_id")
+    """Translate a foreign id; returns the resolved rows and the quarantined rest.
+
+    Rows without an id go straight to quarantine, so they never pile up on one join partition.
+    """
+    known = teams.select(F.col("team_id").alias(foreign), "team_id")
+    given = rows.filter(F.col(foreign).isNotNull())
+    missed = given.join(known.select(foreign), foreign, "left_anti").unionByName(rows.filter(F.col(foreign).isNull()))
+    return given.join(known, foreign), missed

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,39 +28,44 @@ def containing(keys: DataFrame, candidates: DataFrame) -> DataFrame:
     return keys.select("key").distinct().join(cut, "key")
 
 
-def match_pairs(names: DataFrame, candidates: DataFrame) -> DataFrame:
-    """All matches of each name's first successful stage: (name, stage, candidate)."""
-    exact = names.join(candidates, F.col("name") == F.col("candidate")).select("name", F.lit(1).alias("stage"), "candidate")
-    left = names.join(exact.select("name").distinct(), "name", "left_anti")
-    inside = containing(left.select(F.col("name").alias("key")), candidates).select(
-        F.col("key").alias("name"), F.lit(2).alias("stage"), "candidate"
-    )
-    rest = left.join(inside.select("name").distinct(), "name", "left_anti").withColumn("key", longest_token("name"))
-    token = rest.join(containing(rest.select("key").distinct(), candidates), "key").select(
-        "name", F.lit(3).alias("stage"), "candidate"
-    )
-    return exact.unionByName(inside).unionByName(token)
+def _per_key(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("key").agg(F.count(F.lit(1)).alias("matches"), F.min("candidate").alias("first"))
 
 
 def match_names(names: DataFrame, candidates: DataFrame) -> DataFrame:
-    """One row per name: stage 1-3 (0 unresolved), number of matches, the match if it is the only one.
+    """One row per name: stage 1-3 (0 unresolved), the key that matched, the number of matches, and
+    the match if it is the only one.
 
-    Several matches are left to a reviewer; see :func:`review_table`.
+    Matches are counted per key before names are attached, so many names sharing one token never
+    multiply with the many candidates containing it. Several matches are left to a reviewer; see
+    :func:`review_candidates`.
     """
-    found = match_pairs(names, candidates).groupBy("name").agg(
-        F.max("stage").alias("stage"), F.count(F.lit(1)).alias("matches"), F.min("candidate").alias("first")
+    equal = candidates.select(F.col("candidate").alias("key"), "candidate")
+    stages = (
+        (1, F.col("name"), lambda keys: _per_key(equal)),
+        (2, F.col("name"), lambda keys: _per_key(containing(keys, candidates))),
+        (3, longest_token("name"), lambda keys: _per_key(containing(keys, candidates))),
     )
-    return names.join(found, "name", "left").select(
-        "name",
-        F.coalesce("stage", F.lit(0)).alias("stage"),
-        F.coalesce("matches", F.lit(0)).alias("matches"),
-        F.when(F.col("matches") == 1, F.col("first")).alias("match"),
-        (F.coalesce("matches", F.lit(0)) > 1).alias("ambiguous"),
+    done, left = [], names.select("name")
+    for stage, key, search in stages:
+        keyed = left.withColumn("key", key)
+        joined = keyed.join(search(keyed.select("key")), "key", "left")
+        done.append(joined.filter("matches is not null").withColumn("stage", F.lit(stage)))
+        left = joined.filter("matches is null").select("name")
+    nothing = left.select(
+        F.lit(None).cast("string").alias("key"), "name", F.lit(0).cast("long").alias("matches"),
+        F.lit(None).cast("string").alias("first"), F.lit(0).alias("stage"),
     )
+    every = reduce(lambda a, b: a.unionByName(b), [*done, nothing])
+    return every.select(
+        "name", "stage", "key", "matches", F.when(F.col("matches") == 1, F.col("first")).alias("match"),
+        (F.col("matches") > 1).alias("ambiguous"),
+    )
+
 
+def review_candidates(matched: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Candidates of every key that matched more than once: (key, candidate).
 
-def review_table(names: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Every candidate of the names that matched more than once."""
-    pairs = match_pairs(names, candidates)
-    several = pairs.groupBy("name").count().filter("count > 1").select("name")
-    return pairs.join(several, "name", "left_semi")
+    Keyed like ``matched``, so a reviewer joins the two for the names at hand.
+    """
+    return containing(matched.filter("ambiguous and stage > 1").select("key"), candidates)

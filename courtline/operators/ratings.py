@@ -104,8 +104,7 @@ def pool_folder(rules: EloRules):
         codes, teams = pd.factorize(np.concatenate([games["w_id"].to_numpy(), games["l_id"].to_numpy()]))
         w, l = codes[:size], codes[size:]
         scale = np.power(games["margin"].to_numpy() + offset, power)
-        where = games["w_loc"].to_numpy()
-        at_home = bonus * ((where == "H").astype(float) - (where == "A").astype(float))
+        at_home = bonus * games["home"].to_numpy()
 
         rating = np.full(len(teams), first_rating)
         current = season[0] if size else 0
@@ -139,7 +138,9 @@ def pool_folder(rules: EloRules):
 
 def _fold(games: DataFrame, opening: DataFrame | None, rules: EloRules) -> DataFrame:
     fold = pool_folder(rules)
-    pools = games.groupBy("league")
+    # A small number instead of a text keeps the pools compact in the Python workers.
+    home = F.when(F.col("w_loc") == "H", 1.0).when(F.col("w_loc") == "A", -1.0).otherwise(0.0)
+    pools = games.withColumn("home", home).drop("w_loc").groupBy("league")
     if opening is None:
 
         def alone(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -155,7 +156,7 @@ def _fold(games: DataFrame, opening: DataFrame | None, rules: EloRules) -> DataF
 
 
 def step_through_days(
-    games: DataFrame, opening: DataFrame | None, rules: EloRules = RULES, compact_every: int = 16, day_splits: int = 64
+    games: DataFrame, opening: DataFrame | None, rules: EloRules = RULES, compact_every: int = 16, day_splits: int = 256
 ) -> DataFrame:
     """Rate pools of any size: one distributed step per day.
 
@@ -170,6 +171,8 @@ def step_through_days(
     games.repartition("season", "day_num", split).write.partitionBy("season", "day_num").parquet(f"{root}/games")
     log = spark.read.parquet(f"{root}/games")
     calendar = [(r[0], r[1]) for r in log.select("season", "day_num").distinct().orderBy("season", "day_num").collect()]
+    if not calendar:
+        return spark.createDataFrame([], RATING_HISTORY)
     roster = _two_sided(
         log.select("league", "season", "day_num", "w_id", "l_id", *[F.lit(0.0).alias(c) for c in ("w_elo", "l_elo", "update")])
     ).select("league", "team").distinct()
@@ -206,8 +209,7 @@ def step_through_days(
     begins_fresh = cut_lineage(begins_fresh)
 
     since: list[str] = []
-    written: list[str] = []
-    season = calendar[0][0] if calendar else None
+    season = calendar[0][0]
     number = 0
     for this_season, day in calendar:
         if this_season != season or len(since) >= compact_every:
@@ -224,9 +226,6 @@ def step_through_days(
         path = f"{root}/history/{this_season}-{day}"
         rate_day(today, now(base, since), rules).write.mode("overwrite").parquet(path)
         since.append(path)
-        written.append(path)
-    if not written:
-        return spark.createDataFrame([], RATING_HISTORY)
     return spark.read.schema(RATING_HISTORY).parquet(f"{root}/history/*")
 
 

@@ -2,7 +2,7 @@
 
 import random
 
-from courtline.operators.matching import containing, match_names, match_pairs, review_table
+from courtline.operators.matching import containing, match_names, review_candidates
 
 
 def brute(names, candidates):
@@ -32,17 +32,26 @@ def test_cascade(spark):
     candidates = sorted({phrase(rng.randrange(1, 5)) for _ in range(60)})
     want = brute(names, candidates)
     left, right = frames(spark, names, candidates)
-    pairs = {}
-    for r in match_pairs(left, right).collect():
-        pairs.setdefault(r.name, (r.stage, []))[1].append(r.candidate)
-    assert {n: (s, sorted(c)) for n, (s, c) in pairs.items()} == want
-    table = {r.name: r for r in match_names(left, right).collect()}
+    matched = match_names(left, right)
+    table = {r.name: r for r in matched.collect()}
     assert set(table) == set(names)
     for n in names:
         stage, hits = want.get(n, (0, []))
         assert (table[n].stage, table[n].matches, table[n].ambiguous) == (stage, len(hits), len(hits) > 1)
         assert table[n].match == (hits[0] if len(hits) == 1 else None)
-    assert review_table(left, right).count() == sum(len(h) for _, h in want.values() if len(h) > 1)
+    review = {}
+    for r in review_candidates(matched, right).collect():
+        review.setdefault(r.key, []).append(r.candidate)
+    assert {table[n].key: sorted(want[n][1]) for n in names if table[n].ambiguous} == {k: sorted(v) for k, v in review.items()}
+
+
+def test_shared_token_is_counted_not_multiplied(spark):
+    names = [f"{i} University" for i in range(60)]
+    candidates = [f"The University {i} of" for i in range(70)]
+    left, right = frames(spark, names, candidates)
+    got = match_names(left, right)
+    assert [tuple(r) for r in got.select("stage", "key", "matches").distinct().collect()] == [(3, "University", 70)]
+    assert got.count() == 60 and review_candidates(got, right).count() == 70
 
 
 def test_containing_is_literal_and_whole(spark):
