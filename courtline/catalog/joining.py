@@ -11,7 +11,7 @@ from courtline.functions.text import path_segment
 from courtline.operators.games import team_games
 from courtline.operators.history import recent_games, steps, with_both_histories
 from courtline.operators.ingest import pending
-from courtline.operators.lookups import both_names, coach_on_day, latest, team_ids, trailing_of_side
+from courtline.operators.lookups import both_names, coach_on_day, latest, side_of_day, team_ids
 from courtline.operators.matching import match_names, review_candidates
 from courtline.operators.matchups import orientations
 from courtline.operators.ratings import rating_before
@@ -81,7 +81,7 @@ def _(spark, sf):
 def _(spark, sf):
     games = t.game_log(spark, sf).select("game_id", "season", "day_num", "w_id", "l_id")
     stats = trailing_table(spark, sf)
-    out = trailing_of_side(trailing_of_side(games, stats, "w"), stats, "l")
+    out = side_of_day(side_of_day(games, stats, "w"), stats, "l")
     return rounded(out.select("game_id", *NUMERIC), NUMERIC)
 
 

@@ -41,11 +41,11 @@ def latest(df: DataFrame, keys: list[str], order: str, before: Column | int | No
     return df.withColumn("place", newest).filter("place = 1").drop("place")
 
 
-def trailing_of_side(games: DataFrame, rolling: DataFrame, side: str, how: str = "left") -> DataFrame:
-    """Attach a side's trailing statistics of the same day; outcome is part of the key, so nothing fans out."""
+def side_of_day(games: DataFrame, team_days: DataFrame, side: str, how: str = "left") -> DataFrame:
+    """Attach a side's columns of the same day; outcome is part of the key, so nothing fans out."""
     keys = ("season", "day_num", "team", "outcome")
-    stats = rolling.filter(F.col("outcome") == side.upper()).selectExpr(
-        "season", "day_num", f"team as {side}_id", *[f"{c} as {side}_{c}" for c in rolling.columns if c not in keys]
+    stats = team_days.filter(F.col("outcome") == side.upper()).selectExpr(
+        "season", "day_num", f"team as {side}_id", *[f"{c} as {side}_{c}" for c in team_days.columns if c not in keys]
     )
     return games.join(stats, ["season", "day_num", f"{side}_id"], how)
 
