@@ -95,6 +95,12 @@ def _(spark, sf):
     return ingest.labelled_text(t.table(spark, sf, "pages"))
 
 
+@query("h2_box_score_cells", sql("select * from cells", "cells"))
+def _(spark, sf):
+    """Cells parsed back out of whole stored pages."""
+    return ingest.box_score_cells(t.box_pages(spark, sf))
+
+
 @query("h3_oriented_cells", sql(
     """select game_id, case when home_won then 'H' else 'A' end as w_loc, w_href, l_href, w_score, l_score, w_pts, l_pts, w_fg, l_fg
     from oriented""", "oriented"))

@@ -102,6 +102,12 @@ def _(spark, sf):
     return rounded(steps, [f"{b}_{s}" for b in ("t1", "o1", "t2", "o2") for s in STATS])
 
 
+@query("m5_sequence_counts", sql("select * from sequence", "sequence"))
+def _(spark, sf):
+    """The unscaled form."""
+    return q.sequence_steps(sequences(spark, sf), None)
+
+
 @query("m6_hash_split", sql(
     """select game_id, bucket, case when bucket < 30 then 'test' else 'train' end as part from (
     select game_id, (((game_id % 1000003) * 48271 + 17) % 100) as bucket from contests)""", "contests"))

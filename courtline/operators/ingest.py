@@ -15,6 +15,21 @@ TITLE = r"<title>([^<]*)</title>"
 HEADING = r"<h1>([^<]*)</h1>"
 CELL = r'<div class="{label}">([^<]*)</div>'
 
+# Classes of a stored box-score page. Each side has a block with its link and score, and a
+# section with its totals row; the away side comes first.
+GAME_STATUS = r'<span[^>]*class="game-time status-detail"[^>]*>([^<]*)<'
+SIDE_BLOCK = r'(?s)<div[^>]*class="team {side}"[^>]*>(.*?)</section>'
+SIDE_LINK = r'<a[^>]*class="team-name"[^>]*href="([^"]*)"'
+SIDE_SCORE = r'<div[^>]*class="score"[^>]*>([^<]*)<'
+SECTION_START = 'class="sub-module"'
+TOTALS_ROW = r'(?s)<tr[^>]*class="highlight"[^>]*>(.*?)</tr>'
+TOTALS_CELL = r'<td[^>]*class="{label}"[^>]*>([^<]*)<'
+# Cell class of each column.
+CELL_CLASSES = {
+    "fg": "fg", "fg3": "3pt", "ft": "ft", "oreb": "oreb", "dreb": "dreb", "ast": "ast", "stl": "stl", "blk": "blk",
+    "tov": "to", "pf": "pf", "pts": "pts",
+}
+
 DOWNLOADED = "Downloaded"
 
 
@@ -27,15 +42,40 @@ def links(pages: DataFrame, marker: str) -> DataFrame:
     return pages.select(F.inline(found)).filter(F.contains("href", F.lit(marker))).distinct()
 
 
+def _first(text: str, pattern: str) -> Column:
+    """First match of a pattern's group; null where there is none."""
+    return F.try_element_at(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.lit(1))
+
+
 def labelled_text(pages: DataFrame, label: str = "ad") -> DataFrame:
     """Title, heading and the text of the element with the given class; null where a page has none."""
+    return pages.select(
+        "page_id", _first("html", TITLE).alias("title"), _first("html", HEADING).alias("heading"),
+        _first("html", CELL.format(label=label)).alias("cell"),
+    )
 
-    def first(pattern: str) -> Column:
-        return F.try_element_at(F.regexp_extract_all("html", F.lit(pattern), F.lit(1)), F.lit(1))
 
-    return pages.select(
-        "page_id", first(TITLE).alias("title"), first(HEADING).alias("heading"),
-        first(CELL.format(label=label)).alias("cell"),
+def box_score_cells(pages: DataFrame) -> DataFrame:
+    """Scraped cells of stored box-score pages (game_id, html), over the whole text of each page.
+
+    A page is cut into its side blocks and totals rows first, so cells of one side never match the other's.
+    """
+    blocks = pages.select(
+        "game_id", _first("html", TITLE).alias("title"), _first("html", GAME_STATUS).alias("status_text"),
+        *[_first("html", SIDE_BLOCK.format(side=side)).alias(f"{side}_block") for side in ("home", "away")],
+        F.split("html", SECTION_START).alias("sections"),
+    )
+    rows = blocks.withColumns({"away_section": F.get("sections", F.lit(1)), "home_section": F.get("sections", F.lit(2))})
+    rows = rows.withColumns({f"{side}_totals": _first(f"{side}_section", TOTALS_ROW) for side in ("home", "away")})
+    return rows.select(
+        "game_id", "title", "status_text",
+        *[_first(f"{side}_block", SIDE_LINK).alias(f"{side}_href") for side in ("away", "home")],
+        *[_first(f"{side}_block", SIDE_SCORE).alias(f"{side}_score") for side in ("away", "home")],
+        *[
+            _first(f"{side}_totals", TOTALS_CELL.format(label=label)).alias(f"{side}_{column}")
+            for side in ("home", "away")
+            for column, label in CELL_CLASSES.items()
+        ],
     )
 
 

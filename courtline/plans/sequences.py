@@ -37,11 +37,18 @@ def sequence_pairs(pairs: DataFrame, facts: DataFrame, cutoff_day: int, n: int =
 
 
 
-def sequence_steps(sequences: DataFrame, bounds: Bounds) -> DataFrame:
-    """Long form: per game and step, ids and scaled counts of both teams and of their opponents."""
+def sequence_steps(sequences: DataFrame, bounds: Bounds | None) -> DataFrame:
+    """Long form: per game and step, ids and counts of both teams and of their opponents.
+
+    Counts are scaled to ``bounds``, or left as they are without bounds.
+    """
+
+    def count(path: str, s: str) -> str:
+        return scaled_sql(path, *bounds[s]) if bounds else path
+
     keys = ["game_id", "season", "label", "team_1", "team_2"]
     blocks = (("t1", "a", ""), ("o1", "a", "opp_"), ("t2", "b", ""), ("o2", "b", "opp_"))
-    columns = [f"{scaled_sql(f'{game}.{prefix}{s}', *bounds[s])} as {name}_{s}" for name, game, prefix in blocks for s in STATS]
+    columns = [f"{count(f'{game}.{prefix}{s}', s)} as {name}_{s}" for name, game, prefix in blocks for s in STATS]
     return steps(sequences, keys).selectExpr(
         *keys, "step", "a.day_num as day_1", "a.opp as opp_1", "b.day_num as day_2", "b.opp as opp_2", *columns
     )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from courtline.operators.games import team_games
+from courtline.operators.ingest import CELL_CLASSES
 from courtline.schemas import GAME_LOG
 from courtline.storage import kept_table
 
@@ -196,6 +197,31 @@ def box_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def box_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scraped cells as stored box-score pages (game_id, html)."""
+    cells = box_cells(spark, sf_dir)
+
+    def block(side: str):
+        link = F.coalesce(F.concat(F.lit('<a class="team-name" href="'), F.col(f"{side}_href"), F.lit('">team</a>')), F.lit("unlinked"))
+        return F.concat(
+            F.lit(f'<section><div class="team {side}">'), link, F.lit('<div class="score">'), F.col(f"{side}_score"), F.lit("</div></div></section>")
+        )
+
+    def totals(side: str):
+        one = [F.concat(F.lit(f'<td class="{label}">'), F.col(f"{side}_{c}"), F.lit("</td>")) for c, label in CELL_CLASSES.items()]
+        return F.concat(
+            F.lit('<div class="sub-module"><table><tr><td class="fg">0-0</td></tr>\n<tr class="highlight">'), *one, F.lit("</tr></table></div>")
+        )
+
+    return cells.select(
+        "game_id",
+        F.concat(
+            F.lit("<html><head><title>"), F.col("title"), F.lit('</title></head><body><span class="game-time status-detail">'),
+            F.col("status_text"), F.lit("</span>"), block("away"), block("home"), totals("away"), totals("home"), F.lit("</body></html>"),
+        ).alias("html"),
+    )
+
+
 def name_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Two catalogues to match: every part name, and one brand's bare names plus another's typed names."""
     part = table(spark, sf_dir, "part")

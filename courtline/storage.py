@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 _folders: dict[str, str] = {}
-_tables: dict[tuple[str, str, str], DataFrame] = {}
+_tables: dict[tuple[str, str, str], tuple[str, DataFrame]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -53,5 +53,6 @@ def kept_table(
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(path)
-        _tables[key] = spark.read.parquet(path)
-    return _tables[key]
+        _tables[key] = (path, spark.read.parquet(path))
+    path, kept = _tables[key]
+    return kept if kept.sparkSession is spark else spark.read.parquet(path)
