@@ -13,21 +13,21 @@ def _payload(facts: DataFrame) -> list[str]:
 def recent_games(facts: DataFrame, n: int) -> DataFrame:
     """For every (season, team, day played): the ``n`` latest games of strictly earlier days, newest first.
 
-    At most ``n`` games of any one day can matter, and at most ``n`` earlier days; both limits are
-    exact, so a row never holds more than n*n games and no task sees more than n games of a team-day.
+    At most ``n`` games of any one day can matter, so the rest leave before the shuffle by team. Of
+    the 2n - 1 games before a day's last kept game at most n - 1 share its day; the n latest earlier
+    ones, where they exist, are among them. Both limits are exact.
     """
     newest = Window.partitionBy("season", "team", "day_num").orderBy(F.col("game_id").desc())
+    before = Window.partitionBy("season", "team").orderBy("day_num", "game_id").rowsBetween(1 - 2 * n, -1)
     game = F.struct("day_num", "game_id", *[c for c in _payload(facts) if c not in ("day_num", "game_id")])
-    per_day = (
-        facts.withColumn("place", F.row_number().over(newest))
-        .filter(F.col("place") <= n)
-        .groupBy("season", "team", "day_num")
-        .agg(F.sort_array(F.collect_list(game), asc=False).alias("day_games"))
-    )
-    earlier_days = Window.partitionBy("season", "team").orderBy("day_num").rowsBetween(-n, -1)
-    return per_day.select(
-        "season", "team", "day_num",
-        F.slice(F.flatten(F.reverse(F.collect_list("day_games").over(earlier_days))), 1, n).alias("recent"),
+    kept = facts.withColumn("place", F.row_number().over(newest)).filter(F.col("place") <= n)
+    return (
+        kept.withColumn("before", F.collect_list(game).over(before))
+        .filter("place = 1")
+        .select(
+            "season", "team", "day_num",
+            F.expr(f"slice(reverse(filter(before, g -> g.day_num < day_num)), 1, {n})").alias("recent"),
+        )
     )
 
 
