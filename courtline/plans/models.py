@@ -58,8 +58,13 @@ class ScoreModels:
 
     @staticmethod
     def fit(rows: DataFrame, step: float = 0.1, depth: int = 10, rounds: int = 50, seed: int = 7) -> ScoreModels:
+        """Train on ``rows``, placed by ``game_id`` so the trees' row sampling repeats from run to run."""
         codes = CoachCodes.fit(rows)
-        ready = assemble(codes.apply(rows)).select("features", "w_score", "l_score").persist()
+        parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ready = (
+            assemble(codes.apply(rows)).select("game_id", "features", "w_score", "l_score")
+            .repartition(parts, "game_id").sortWithinPartitions("game_id").persist()
+        )
         try:
             models = [
                 GBTRegressor(

@@ -92,8 +92,12 @@ def test_score_models_are_seeded_and_leave_gaps_null(spark):
         for i in range(200)
     ]
     types = [f"{c} {'string' if 'coach' in c else 'int' if c in ('season', 'day_num') else 'double'}" for c in columns]
-    df = spark.createDataFrame(rows, ", ".join([*types, "w_score int", "l_score int"]))
-    a, b = (m.ScoreModels.fit(df, depth=3, rounds=3).score(df).select("w_pred", "l_pred").collect() for _ in range(2))
+    rows = [(i, *r) for i, r in enumerate(rows)]
+    df = spark.createDataFrame(rows, ", ".join(["game_id long", *types, "w_score int", "l_score int"]))
+    a, b = (
+        m.ScoreModels.fit(d, depth=3, rounds=3).score(df).select("game_id", "w_pred", "l_pred").collect()
+        for d in (df, df.repartition(11))
+    )
     assert sorted(a) == sorted(b)
     holes = df.withColumn("w_elo", F.lit(None).cast("double"))
     scored = m.ScoreModels.fit(df, depth=3, rounds=3).score(holes)
