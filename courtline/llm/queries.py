@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from courtline.llm import embeddings, language, simhash, suffixes, toxicity
+from courtline.llm import decontaminate, embeddings, language, simhash, suffixes, toxicity
 from courtline.llm.tables import read
 
 
@@ -15,6 +15,10 @@ def op1_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_passages(read(spark, sf_dir, "documents"))
 
 
+def op2_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -34,6 +38,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repeated_passages": op1_repeated_passages,
+    "op2_benchmark_leaks": op2_benchmark_leaks,
     "op3_simhash": op3_simhash,
     "op4_toxicity": op4_toxicity,
     "op7_embedding_groups": op7_embedding_groups,

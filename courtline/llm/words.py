@@ -8,7 +8,6 @@ import xxhash
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 # Odd, so that it has an inverse modulo 2**64.
 _BASE = 0x9E3779B97F4A7C15
-_MASK = (1 << 64) - 1
 
 
 def utf8(text: str | None) -> bytes:
@@ -35,12 +34,10 @@ class Powers:
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > self.n:
             size = max(1024, 2 * n)
-            inverse = pow(_BASE, -1, 1 << 64)
-            up, down = np.empty(size, np.uint64), np.empty(size, np.uint64)
-            a = b = 1
-            for i in range(size):
-                up[i], down[i] = a, b
-                a, b = a * _BASE & _MASK, b * inverse & _MASK
+            up, down = np.ones(size, np.uint64), np.ones(size, np.uint64)
+            up[1:], down[1:] = _BASE, pow(_BASE, -1, 1 << 64)
+            np.cumprod(up, out=up)
+            np.cumprod(down, out=down)
             self.up, self.down, self.n = up, down, size
         return self.up[:n], self.down[:n]
 
