@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from courtline.llm import decontaminate, embeddings, language, simhash, suffixes, toxicity
+from courtline.llm import decontaminate, embeddings, language, mixing, simhash, suffixes, toxicity
 from courtline.llm.tables import read
 
 
@@ -31,6 +31,10 @@ def op7_embedding_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return language.predict(docs, language.fit(docs))
@@ -42,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_toxicity": op4_toxicity,
     "op7_embedding_groups": op7_embedding_groups,
+    "op8_source_mix": op8_source_mix,
     "op10_language": op10_language,
 }
 ORACLE_SQL: dict[str, str] = {}
