@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from courtline.llm import decontaminate, embeddings, language, mixing, simhash, suffixes, toxicity
+from courtline.llm import decontaminate, embeddings, language, mixing, simhash, sql, suffixes, toxicity, urls
 from courtline.llm.tables import read
 
 
@@ -35,6 +35,10 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def op9_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(read(spark, sf_dir, "pages"), urls.label_outcomes(read(spark, sf_dir, "labels")))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return language.predict(docs, language.fit(docs))
@@ -47,6 +51,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op7_embedding_groups": op7_embedding_groups,
     "op8_source_mix": op8_source_mix,
+    "op9_url_verdicts": op9_url_verdicts,
     "op10_language": op10_language,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_url_verdicts": sql.URL_VERDICTS,
+}
