@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from courtline.llm import urls
+from courtline.llm import licenses, urls
 
 _RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in urls.RULES)
 _SUFFIXES = ", ".join(f"'{s}'" for s in urls.TWO_LABEL_SUFFIXES)
@@ -69,3 +69,64 @@ standing as (select host, rate - {urls.BOUND} * sqrt(rate * (1 - rate) / (k + n
 select page_id, p.host, p.path, rule, coalesce(verdict, case when shady then 'block' end, 'allow') as verdict
 from parts p left join fitting f on p.host = f.host and p.path = f.path left join standing s on p.host = s.host
 """
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _doubled(pattern: str) -> str:
+    """A pattern over words that have a blank of their own on either side."""
+    return " " + pattern.replace(" ", "  ") + " "
+
+
+_SIGNATURES = ", ".join(
+    f"({n}, {_quoted(label)}, {priority}, {_quoted('  ' + keyword.replace(' ', '  '))}, {_quoted(_doubled(pattern))})"
+    for n, (label, priority, keyword, pattern) in enumerate(licenses.rules())
+)
+_PHRASES = ", ".join(f"({_quoted(label)}, {_quoted(_doubled(phrase))})" for phrase, label in licenses.BASE)
+_LINE = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def _intervals(patterns: str, columns: str) -> str:
+    """Every match of every pattern in every line, with its first word and the word beyond its last."""
+    return f"""
+      select doc_id, {columns}, first, first + (length(found[j]) - length(replace(found[j], ' ', ''))) // 2 as last
+      from (
+        select *, (list_sum(blanks[:j]) + coalesce(list_sum(inside[:j - 1]), 0)) // 2 as first
+        from (
+          select *, list_transform(pieces, lambda p: length(p) - length(replace(p, ' ', ''))) as blanks,
+            list_transform(found, lambda p: length(p) - length(replace(p, ' ', ''))) as inside,
+            unnest(range(1, len(found) + 1)) as j
+          from (
+            select doc_id, {columns}, regexp_extract_all(line, pattern) as found,
+              regexp_split_to_array(line, pattern) as pieces
+            from lines join {patterns})))"""
+
+
+LICENSES = f"""
+with words as (select doc_id, {_LINE} as words from documents),
+lines as (
+  select doc_id, ' ' || array_to_string(words, '  ') || ' ' as line from words where len(words) > 0),
+phrases(label, pattern) as (values {_PHRASES}),
+signatures(rule, label, priority, keyword, pattern) as (values {_SIGNATURES}),
+base as ({_intervals("phrases on contains(line, pattern)", "label")}),
+found as ({_intervals("signatures on contains(' ' || line, keyword)", "label, rule, priority")}),
+standing as (
+  select * from found d where not exists (
+    select 1 from found e where e.doc_id = d.doc_id and e.first <= d.first and e.last >= d.last
+      and (e.priority > d.priority or (e.priority = d.priority and (e.last - e.first > d.last - d.first
+        or (e.last - e.first = d.last - d.first and e.rule < d.rule)))))),
+b as (
+  select doc_id, count(*) as n_base, min(first) as first_word, max(first) as last_word,
+    array_to_string(list_sort(list(distinct label)), ',') as base_labels
+  from base group by 1),
+l as (
+  select doc_id, array_to_string(list_sort(list(distinct label)), ',') as labels
+  from (select doc_id, label from base union all select doc_id, label from standing) group by 1),
+s as (select doc_id, max(priority) / {licenses.MOST_PRIORITY} as score from standing group by 1)
+select doc_id, len(words)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word,
+  last_word::bigint as last_word, coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels,
+  coalesce(score, 0)::double as score
+from words left join b using (doc_id) left join l using (doc_id) left join s using (doc_id)
+"""
