@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from courtline.llm import decontaminate, embeddings, language, licenses, mixing, simhash, sql, suffixes, toxicity, urls
+from courtline.llm import decontaminate, embeddings, language, licenses, mixing, perplexity, simhash, sql, suffixes, toxicity, urls
 from courtline.llm.tables import read
 
 
@@ -27,6 +27,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.detect(read(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_benchmark_leaks": op2_benchmark_leaks,
     "op3_simhash": op3_simhash,
     "op4_toxicity": op4_toxicity,
+    "op5_quality": op5_quality,
     "op6_licenses": op6_licenses,
     "op7_embedding_groups": op7_embedding_groups,
     "op8_source_mix": op8_source_mix,
