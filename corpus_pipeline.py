@@ -1,4 +1,8 @@
-"""Corpus preparation: documents through the stages below, each written as Parquet and read again by the next."""
+"""Corpus preparation: documents through the stages below, each written as Parquet and read again by the next.
+
+Every stage works on all that the one before kept. The first four return the columns of documents; the last returns
+them with ``copies``, the times each document is to be repeated in the mix.
+"""
 
 from __future__ import annotations
 
@@ -6,19 +10,43 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from courtline.llm import simhash
+from courtline.llm import decontaminate, language, mixing, simhash, suffixes
 from courtline.llm.tables import read, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents whose language the byte network does not know."""
+    return language.keep_identified(docs, language.fit(docs))
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each SimHash group."""
     return simhash.keep_one(docs)
 
 
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut passages that an earlier document has out of the later ones; drop what has no word left."""
+    return suffixes.drop_repeats(docs)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold an item of ``benchmark``, exactly or with some edits."""
+    return decontaminate.keep_clean(docs, read(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Give each source its target number of words; adds ``copies`` and drops documents that are not taken."""
+    return mixing.mixed_documents(docs)
+
+
 STAGES: list[tuple[str, Stage]] = [
+    ("language", identify_language),
     ("near_copies", drop_near_copies),
+    ("repeated_passages", drop_repeated_passages),
+    ("benchmark_leaks", drop_benchmark_leaks),
+    ("mix", mix_sources),
 ]
 
 # Hashing, sorting by content and trained models have no SQL form; tests hold the rows to a brute-force version.
