@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from courtline.llm.components import components
@@ -29,7 +29,7 @@ ROUNDS = 5
 # Centres at this cosine or more become one.
 MERGE_AT = 0.7
 # Distance to a cell's boundary, as a length on the unit sphere, within which a vector is compared in that cell too.
-MARGIN = 0.16
+MARGIN = 0.08
 BLOCK_ROWS = 1024
 
 
@@ -49,11 +49,22 @@ def _apart(centres: np.ndarray, limit: float) -> np.ndarray:
 def usable(vectors: DataFrame) -> DataFrame:
     """Rows whose vector is there, finite and not zero, as double arrays."""
     v = F.col("embedding").cast("array<double>")
-    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(math.inf)))
-    return (
-        vectors.select("vec_id", v.alias("embedding"))
-        .where(F.col("embedding").isNotNull() & fine & F.exists("embedding", lambda x: x != 0))
-    )
+    largest = F.array_max(F.transform(v, lambda x: F.abs(F.coalesce(x, F.lit(math.nan)))))
+    # NaN is the largest of doubles.
+    return vectors.select("vec_id", v.alias("embedding")).where((largest > 0) & (largest < F.lit(math.inf)))
+
+
+def unit_vector(vectors: Column) -> Column:
+    @F.pandas_udf("array<double>")
+    def of(rows: pd.Series) -> pd.Series:
+        out = []
+        for v in rows:
+            # Scaled first, so that no square overflows or vanishes; adding zero makes minus zero zero.
+            v = v / np.abs(v).max()
+            out.append(v / np.linalg.norm(v) + 0.0)
+        return pd.Series(out, dtype=object)
+
+    return of(vectors)
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -150,10 +161,13 @@ def _products(threshold: float):
             return pd.DataFrame({"a": a, "b": a, "seen": a})
         ends = np.concatenate([a, b])
         row, column = _forest(near)
-        out = [pd.DataFrame({"a": a, "b": ends[row], "seen": near @ right["n"].to_numpy(np.int64)})]
-        if i != j:
-            out.append(pd.DataFrame({"a": b, "b": ends[column], "seen": near.T @ left["n"].to_numpy(np.int64)}))
-        return pd.concat(out)
+        seen_a, seen_b = near @ right["n"].to_numpy(np.int64), near.T @ left["n"].to_numpy(np.int64)
+        if i == j:
+            # The same vectors on both sides: both give links, one side counts.
+            seen_b = np.zeros(len(b), np.int64)
+        return pd.DataFrame({
+            "a": np.r_[a, b], "b": np.r_[ends[row], ends[column]], "seen": np.r_[seen_a, seen_b],
+        })
 
     return task
 
@@ -200,12 +214,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, margin: fl
     repeat an id are expected to hold equal vectors. An empty table gives no rows.
     """
     fine = usable(vectors).where(F.col("vec_id").isNotNull())
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
-    scale = F.array_max(F.transform("embedding", lambda x: F.abs(x)))
-    keyed = written(
-        fine.withColumn("embedding", F.transform("embedding", lambda x: x / scale + F.lit(0.0)))
-        .select("vec_id", F.transform("embedding", lambda x: x / norm).alias("unit")), "units"
-    )
+    keyed = written(fine.select("vec_id", unit_vector(F.col("embedding")).alias("unit")), "units")
     distinct = written(
         keyed.groupBy("unit").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"))
         .withColumn("width", F.size("unit")), "distinct"
