@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from courtline.llm.tables import crc_residue, unused
+from courtline.llm.tables import crc_residue, own_columns, unused
 from courtline.llm.words import lowered
 
 UNKNOWN = "und"
@@ -197,4 +197,4 @@ def keep_identified(docs: DataFrame, network: Network | None, least: float = MIN
     """The documents whose language is known with a score of ``least`` or more, with their own columns."""
     told = unused(docs, "_told")
     judged = docs.withColumn(told, identify(F.col("text"), network))
-    return judged.where((F.col(told)["lang_pred"] != UNKNOWN) & (F.col(told)["score"] >= least)).select(*docs.columns)
+    return judged.where((F.col(told)["lang_pred"] != UNKNOWN) & (F.col(told)["score"] >= least)).select(*own_columns(docs))

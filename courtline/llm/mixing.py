@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from courtline.llm.tables import unused, written
+from courtline.llm.tables import own_columns, unused, written
 from courtline.operators.indexing import dense_index
 
 WEIGHTS = (3, 1, 2)
@@ -172,5 +172,5 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     told = copies(docs, weights, share, most).where("size > 0").groupBy("key").agg(F.max("copies").alias("copies"))
     key = unused(docs, "_key")
     chosen = written(told.where("copies > 0"), "chosen").withColumnRenamed("key", key)
-    own = [c for c in docs.columns if c.lower() != "copies"]
+    own = [c for c, name in zip(own_columns(docs), docs.columns, strict=True) if name.lower() != "copies"]
     return docs.select(*own).withColumn(key, row_key()).join(chosen, key).select(*own, "copies")

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from courtline.llm.components import components
-from courtline.llm.tables import unused, written
+from courtline.llm.tables import own_columns, unused, written
 from courtline.llm.words import lowered
 
 SHINGLE_WORDS = 4
@@ -272,4 +272,4 @@ def keep_one(
     kept = docs.join(rest, "doc_id", "left_anti")
     place, key = unused(docs, "_place"), F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
     order = Window.partitionBy("doc_id", key).orderBy("text")
-    return kept.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).select(*docs.columns)
+    return kept.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).select(*own_columns(docs))

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from courtline.llm.tables import unused, written
+from courtline.llm.tables import own_columns, unused, written
 from courtline.llm.words import lowered, prefix_sums, utf8, window_hashes, word_hashes
 
 MIN_WORDS = 50
@@ -237,4 +237,4 @@ def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS, run: int = RUN) ->
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         left = left.withColumn("n_chars", F.when(hit, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return left.select(*docs.columns)
+    return left.select(*own_columns(docs))

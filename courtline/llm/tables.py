@@ -32,3 +32,8 @@ def unused(df: DataFrame, stem: str) -> str:
         n += 1
         name = f"{stem}{n}"
     return name
+
+
+def own_columns(df: DataFrame) -> list[Column]:
+    """All columns of ``df`` by their exact names, dots included."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
