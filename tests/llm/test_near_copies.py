@@ -2,41 +2,13 @@
 
 import math
 import random
-import re
 
 import numpy as np
 import pytest
-import xxhash
 
 from courtline.llm import embeddings, simhash
 from courtline.llm.components import components
-
-LOWER = {c: c + 32 for c in range(65, 91)}
-
-
-def fingerprint(text):
-    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
-    if not words:
-        return 0
-    parts = [" ".join(words)] if len(words) < 4 else [" ".join(words[i : i + 4]) for i in range(len(words) - 3)]
-    hashes = [xxhash.xxh64_intdigest(p.encode(), 42) for p in parts]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
-
-
-def groups(nodes, near):
-    label = {n: n for n in nodes}
-
-    def root(n):
-        while label[n] != n:
-            n = label[n]
-        return n
-
-    for a in nodes:
-        for b in nodes:
-            if a < b and near(a, b):
-                x, y = sorted((root(a), root(b)))
-                label[y] = x
-    return {n: root(n) for n in nodes}
+from tests_llm_brute import fingerprint, groups
 
 
 def test_simhash_matches_brute_force(documents):

@@ -6,28 +6,7 @@ import random
 import pytest
 
 from courtline.llm import decontaminate, suffixes
-
-LOWER = {c: c + 32 for c in range(65, 91)}
-
-
-def brute_spans(texts, width, spare_first=False):
-    words = {i: t.translate(LOWER).encode().split() for i, t in texts}
-    where = collections.defaultdict(set)
-    for i, w in words.items():
-        for a in range(len(w) - width + 1):
-            where[tuple(w[a : a + width])].add(i)
-    out = []
-    for i, w in words.items():
-        spans = []
-        for a in range(len(w) - width + 1):
-            owners = where[tuple(w[a : a + width])]
-            if len(owners) > 1 and not (spare_first and i == min(owners)):
-                if spans and spans[-1][1] >= a:
-                    spans[-1][1] = a + width
-                else:
-                    spans.append([a, a + width])
-        out += [(i, a, b) for a, b in spans]
-    return sorted(out)
+from tests_llm_brute import brute_spans
 
 
 @pytest.fixture(scope="module")
