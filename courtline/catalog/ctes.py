@@ -163,8 +163,8 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         from (select *, cast(strptime(string_split(title, ' - ')[3], '%B %-d, %Y') as date) as d from oriented where status = 'Downloaded')"""),
     "name_left": ((), "select distinct p_name as name from part"),
     "name_right": ((), """
-        select p_name as candidate from part where p_brand = 'Brand#1'
-        union select p_name || ' ' || p_type from part where p_brand = 'Brand#2'"""),
+        select p_name as candidate from part where length(p_name) % 2 = 0
+        union select p_name || ' ' || p_type from part where length(p_name) % 2 = 1"""),
     "tokens": (("name_left",), """
         select name, list_filter(string_split(name, ' '), lambda t: length(t) = list_max(list_transform(string_split(name, ' '), lambda u: length(u))))[1] as token
         from name_left"""),
@@ -215,7 +215,8 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         select league, season, team, max(elo) as elo, max(day_num) as elo_day from (
             select *, rank() over (partition by league, season, team order by day_num desc) as rk
             from team_ratings where day_num < {cutoff}) where rk = 1 group by league, season, team"""),
-    "current_coach": (("tenures",), "select season, team, arg_max(coach, last_day) as coach from tenures group by season, team"),
+    "current_coach": (("tenures",), """
+        select season, team, arg_max(coach, last_day) as coach from tenures where first_day < {cutoff} group by season, team"""),
     "current_stats": (("rolling",), """
         select * from (select *, row_number() over (partition by season, team order by day_num desc, outcome) as rn
             from rolling where day_num < {cutoff}) where rn = 1"""),
@@ -226,14 +227,14 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
             l.rating - {update_sql('w.rating', 'l.rating')} as l_new_elo
         from contests g join (select team_id, 1500 + budget / 100 as rating from teams) w on w.team_id = g.w_id
         join (select team_id, 1500 + budget / 100 as rating from teams) l on l.team_id = g.l_id"""),
-    "fields": (("contests",), """
-        select league, season, team, wins, cast((place + 3) // 4 as int) as seed from (
+    "fields": (("facts",), """
+        select league, season, cast((place - 1) // 64 as int) as bracket, team, wins, cast((place - 1) % 64 // 4 + 1 as int) as seed
+        from (
             select *, row_number() over (partition by league, season order by wins desc, team) as place
-            from (select league, season, w_id as team, count(*) as wins from contests group by league, season, w_id))
-        where place <= 64"""),
+            from (select league, season, team, count(*) filter (outcome = 'W') as wins from facts group by league, season, team))"""),
     "pairs": (("fields",), """
-        select a.league, a.season, a.team as team_1, a.seed as seed_1, b.team as team_2, b.seed as seed_2
-        from fields a join fields b on a.league = b.league and a.season = b.season and a.team < b.team"""),
+        select a.league, a.season, a.bracket, a.team as team_1, a.seed as seed_1, b.team as team_2, b.seed as seed_2
+        from fields a join fields b on a.league = b.league and a.season = b.season and a.bracket = b.bracket and a.team < b.team"""),
     "bounds": (("facts",), " union all ".join(
         f"select '{s}' as stat, min({s}) as lo, max({s}) as hi from facts" for s in STATS)),
     "history": (("facts",), """
@@ -278,7 +279,7 @@ def sql(body: str, *names: str, cutoff: int | None = None) -> str:
     blocks = []
     for name in _ordered(names):
         text = CTES[name][1]
-        if name in ("elo_before", "current_stats"):
+        if name in ("elo_before", "current_stats", "current_coach"):
             text = text.format(cutoff=cutoff)
         header = "state(d, league, team, rating)" if name == "state" else name
         blocks.append(f"{header} as ({text})")

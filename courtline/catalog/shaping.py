@@ -11,7 +11,7 @@ from courtline.functions.elo import win_expectancy
 from courtline.operators.games import combine, game_ordinal, lower_id_won, pair_order
 from courtline.operators.history import latest_games
 from courtline.operators.lookups import latest
-from courtline.operators.matchups import orientations, pairings, seeded_field, sorted_field
+from courtline.operators.matchups import orientations, pairings, sorted_field
 from courtline.operators.rolling import stat_bounds, trailing_stats
 from courtline.plans.models import leaderboard, mean_fitness
 from courtline.schemas import AVERAGED, STATS, TRAILING
@@ -30,7 +30,7 @@ def rolling(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def field_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return pairings(seeded_field(t.game_log(spark, sf)))
+    return pairings(t.seeds(spark, sf))
 
 
 @query("p1_team_games", sql("select * from facts", "facts"))
@@ -222,7 +222,7 @@ def _(spark, sf):
 
 @query("o3_sorted_unique_field", sql("select distinct league, season, team from fields order by league, season, team", "fields"))
 def _(spark, sf):
-    return sorted_field(seeded_field(t.game_log(spark, sf)))
+    return sorted_field(t.seeds(spark, sf))
 
 
 @query("o4_leaderboard", """select c_custkey as candidate, c_nationkey as generation, c_acctbal as score from customer

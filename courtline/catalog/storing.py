@@ -87,20 +87,20 @@ def _(spark, sf):
 
 
 def scored_pairs(spark, sf):
-    """Pairings with the expectancy of the lower id, from ratings before the cutoff."""
+    """Pairings with the expectancy of the lower id, from ratings before the cutoff; null without a rating."""
     ratings = rating_before(rating_history(spark, sf), CUTOFF_DAY)
     names = t.teams(spark, sf).select("team_id", "team_name")
     out = field_pairs(spark, sf)
     for n in ("1", "2"):
         elo = ratings.select("league", "season", F.col("team").alias(f"team_{n}"), F.col("elo").alias(f"elo_{n}"))
-        out = out.join(elo, ["league", "season", f"team_{n}"]).join(names.toDF(f"team_{n}", f"name_{n}"), f"team_{n}")
+        out = out.join(elo, ["league", "season", f"team_{n}"], "left").join(names.toDF(f"team_{n}", f"name_{n}"), f"team_{n}")
     return out.withColumn("p_lower", win_expectancy(F.col("elo_1"), F.col("elo_2")))
 
 
 _SCORED = """(select p.*, n1.team_name as name_1, n2.team_name as name_2,
     1.0 / (pow(10.0, -(a.elo - b.elo) / 400.0) + 1.0) as p_lower from pairs p
-    join elo_before a on a.league = p.league and a.season = p.season and a.team = p.team_1
-    join elo_before b on b.league = p.league and b.season = p.season and b.team = p.team_2
+    left join elo_before a on a.league = p.league and a.season = p.season and a.team = p.team_1
+    left join elo_before b on b.league = p.league and b.season = p.season and b.team = p.team_2
     join teams n1 on n1.team_id = p.team_1 join teams n2 on n2.team_id = p.team_2)"""
 
 

@@ -14,8 +14,6 @@ from courtline.operators.indexing import dense_index, scaled_sql, with_index
 from courtline.schemas import STATS
 
 HISTORY = 5
-# A vocabulary up to this size is one-hot encoded; beyond it team ids are hashed to this many slots.
-TEAM_SLOTS = 4096
 
 Bounds = dict[str, tuple[float, float]]
 
@@ -67,11 +65,11 @@ def team_vocabulary(teams: DataFrame) -> DataFrame:
     return dense_index(teams.select("team_id").distinct(), [F.col("team_id")])
 
 
-def indexed_facts(facts: DataFrame, vocabulary: DataFrame, size: int, slots: int = TEAM_SLOTS) -> DataFrame:
-    """Facts with ``team_slot`` / ``opp_slot``: the vocabulary index, or a hash slot for a large one."""
-    if size > slots:
-        slot = lambda c: F.pmod(F.xxhash64(c), F.lit(slots)).cast("int")
-        return facts.withColumn("team_slot", slot("team")).withColumn("opp_slot", slot("opp"))
+def indexed_facts(facts: DataFrame, vocabulary: DataFrame, size: int) -> DataFrame:
+    """Facts with ``team_slot`` / ``opp_slot``: the vocabulary index, and ``size`` for unknown teams.
+
+    One-hot vectors are sparse, so a vocabulary of any size costs a game no more.
+    """
     out = with_index(facts, vocabulary, "team_id", "team", "team_slot", size)
     return with_index(out, vocabulary, "team_id", "opp", "opp_slot", size)
 

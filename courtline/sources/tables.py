@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from courtline.operators.games import team_games
 from courtline.operators.ingest import CELL_CLASSES
+from courtline.operators.matchups import bracketed_field
 from courtline.schemas import GAME_LOG
 from courtline.storage import kept_table
 
@@ -100,6 +101,11 @@ def teams(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeds table (league, season, bracket, team, wins, seed): every team of the log, by its wins."""
+    return bracketed_field(facts(spark, sf_dir, stats=(), opponent=False))
+
+
 def tenures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coach validity intervals for every (season, team) in the log; low budgets leave the late one open."""
     season_teams = facts(spark, sf_dir, stats=(), opponent=False).select("season", "team").distinct()
@@ -223,12 +229,13 @@ def box_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def name_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Two catalogues to match: every part name, and one brand's bare names plus another's typed names."""
+    """Two catalogues to match over the whole table: every part name, against names of even length as they are and
+    names of odd length with the type of their part."""
     part = table(spark, sf_dir, "part")
     left = part.select(F.col("p_name").alias("name")).distinct()
-    bare = part.filter("p_brand = 'Brand#1'").select(F.col("p_name").alias("candidate"))
-    typed = part.filter("p_brand = 'Brand#2'").select(F.concat_ws(" ", "p_name", "p_type").alias("candidate"))
-    return left, bare.unionByName(typed).distinct()
+    odd = F.length("p_name") % 2 == 1
+    typed = F.when(odd, F.concat_ws(" ", "p_name", "p_type")).otherwise(F.col("p_name"))
+    return left, part.select(typed.alias("candidate")).distinct()
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
