@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from courtline.llm.components import components
-from courtline.llm.tables import written
+from courtline.llm.tables import bound_batches, written
 
 THRESHOLD = 0.95
 # Vectors per cell aimed at, centres at most, and vectors whose hash comes first that the centres are fitted on.
@@ -213,6 +213,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, margin: fl
     component_id their own id. Vectors of different lengths never link. Equal vectors link with each other; rows that
     repeat an id are expected to hold equal vectors. An empty table gives no rows.
     """
+    bound_batches(vectors)
     fine = usable(vectors).where(F.col("vec_id").isNotNull())
     keyed = written(fine.select("vec_id", unit_vector(F.col("embedding")).alias("unit")), "units")
     distinct = written(

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from courtline.llm.tables import crc_residue, own_columns, unused
+from courtline.llm.tables import bound_batches, crc_residue, own_columns, unused
 from courtline.llm.words import lowered
 
 UNKNOWN = "und"
@@ -147,6 +147,7 @@ def _sampled_windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def fit(docs: DataFrame) -> Network | None:
     """Train on at most ``FIT_ROWS`` labelled rows of each language (lowest id hashes); None where there are none."""
+    bound_batches(docs)
     rows = labelled(docs)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = rows.select("doc_id", "lang", F.row_number().over(order).alias("place")).where(F.col("place") <= FIT_ROWS)
@@ -188,6 +189,7 @@ def predict(docs: DataFrame, network: Network | None) -> DataFrame:
     Null texts and texts without a letter are ``und`` with score 0, as is everything where nothing was learned. A null
     doc_id counts as not held out and is never learned from. Equal texts get equal results.
     """
+    bound_batches(docs)
     told = docs.select("doc_id", identify(F.col("text"), network).alias("told"))
     held_out = F.coalesce(crc_residue("doc_id", 4) == 2, F.lit(False))
     return told.select("doc_id", held_out.alias("held_out"), "told.lang_pred", "told.score")
@@ -195,6 +197,7 @@ def predict(docs: DataFrame, network: Network | None) -> DataFrame:
 
 def keep_identified(docs: DataFrame, network: Network | None, least: float = MIN_SCORE) -> DataFrame:
     """The documents whose language is known with a score of ``least`` or more, with their own columns."""
+    bound_batches(docs)
     told = unused(docs, "_told")
     judged = docs.withColumn(told, identify(F.col("text"), network))
     return judged.where((F.col(told)["lang_pred"] != UNKNOWN) & (F.col(told)["score"] >= least)).select(*own_columns(docs))

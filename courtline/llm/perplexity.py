@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from courtline.llm.tables import crc_residue, written
+from courtline.llm.tables import bound_batches, crc_residue, written
 from courtline.llm.words import utf8
 
 ORDER = 5
@@ -227,6 +227,7 @@ def judge(
     language without trusted documents of the fold takes the threshold of all languages; without any trusted text
     everything with a text is kept. Null ids are judged like others; rows repeating an id give a row each.
     """
+    bound_batches(docs)
     good = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1")
     fold = crc_residue("doc_id", 5) == 0
     texts = docs.select("doc_id", "text").join(good.where(~fold).select("doc_id"), "doc_id", "left_semi")

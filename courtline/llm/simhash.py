@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from courtline.llm.components import components
-from courtline.llm.tables import own_columns, unused, written
+from courtline.llm.tables import bound_batches, own_columns, unused, written
 from courtline.llm.words import lowered
 
 SHINGLE_WORDS = 4
@@ -252,6 +252,7 @@ def near_duplicates(
     Null and empty texts have fingerprint zero and link like any other. A repeated doc_id gives a row each; a null
     doc_id keeps its row and is never a component's id, unless a component has no other. An empty table gives no rows.
     """
+    bound_batches(docs)
     prints = written(docs.select("doc_id", fingerprint(F.col("text"), shingle).alias("code")), "prints")
     groups = fingerprint_groups(prints, distance, bucket_limit)
     return prints.join(groups, "code").select(

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from courtline.llm.tables import own_columns, unused, written
+from courtline.llm.tables import bound_batches, own_columns, unused, written
 from courtline.llm.words import lowered, prefix_sums, utf8, window_hashes, word_hashes
 
 MIN_WORDS = 50
@@ -166,6 +166,7 @@ def repeated_passages(
     without an id; rows that repeat an id are texts of one document, whose spans are joined. An empty table gives no
     rows. Other columns are ignored.
     """
+    bound_batches(docs)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     begins = written(texts.mapInArrow(_beginnings(min_words, run), "doc_id long, begin long"), "begins")
     counts = written(

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from courtline.storage import new_path
 
+BATCH_BYTES = 2 << 20
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -19,6 +21,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(df: DataFrame) -> None:
+    """Limit what Spark hands to a Python worker at a time by bytes, not rows, so long texts do not add up."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def crc_residue(column: str, modulus: int) -> Column:
     """crc32 of an id's decimal text, modulo ``modulus``; null ids give null."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus))

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from courtline.llm.tables import crc_residue, written
+from courtline.llm.tables import bound_batches, crc_residue, written
 
 # Letters of other scripts that look like Latin ones, and signs that stand for letters.
 LOOK_ALIKES = {
@@ -251,6 +251,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Null and empty texts score 0.01, as texts without any term do. A null doc_id counts as not held out and is never
     learned from; a doc_id with several labels is toxic if one of them is. Equal texts get equal scores.
     """
+    bound_batches(docs)
     lexicon = fit(docs, labels)
     held_out = F.coalesce(crc_residue("doc_id", 5) == 0, F.lit(False))
     told = docs.select("doc_id", held_out.alias("held_out"), score(F.col("text"), lexicon).alias("score"))
