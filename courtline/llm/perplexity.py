@@ -230,7 +230,8 @@ def judge(
     bound_batches(docs)
     good = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1")
     fold = crc_residue("doc_id", 5) == 0
-    texts = docs.select("doc_id", "text").join(good.where(~fold).select("doc_id"), "doc_id", "left_semi")
+    # The list of trusted ids grows with the corpus, so it is merged at every size and never broadcast.
+    texts = docs.select("doc_id", "text").join(good.where(~fold).select("doc_id").hint("merge"), "doc_id", "left_semi")
     told = log_likelihood(docs.select("doc_id", "lang", "text"), "text", train(texts), "told", shard_rows)
     told = written(told.select("doc_id", "lang", "told.total", "told.n"), "likelihoods")
     trusted = told.join(good.select("doc_id"), "doc_id", "left_semi")
