@@ -8,7 +8,9 @@ from courtline.catalog.ctes import sql, update_sql
 from courtline.catalog.registry import query, rating_history
 from courtline.catalog.shaping import rounded
 from courtline.functions.elo import home_bonuses, rating_update, win_expectancy
-from courtline.operators.ratings import RULES, apply_updates, mean_log_loss, open_season, rate_day, season_snapshots
+from courtline.operators.ratings import (
+    RULES, apply_updates, mean_log_loss, open_season, rate_day, rate_games, season_snapshots, unratable,
+)
 from courtline.schemas import RATING_HISTORY
 from courtline.sources import tables as t
 
@@ -100,6 +102,48 @@ def _(spark, sf):
     return rounded_history(rating_history(spark, sf))
 
 
+_DAY = "cast(dayofyear(o.o_orderdate) - 1 as int) as day_num"
+_MONTH = "cast((dayofyear(o.o_orderdate) - 1) // 31 + 1 as int) as day_num"
+
+
+@query("r6_day_steps", sql(f"{_HISTORY_SQL} from ratings", "ratings").replace(_DAY, _MONTH))
+def _(spark, sf):
+    """The distributed steps, with a month of the log as one day."""
+    months = t.game_log(spark, sf).withColumn("day_num", (F.floor(F.col("day_num") / 31) + 1).cast("int"))
+    return rounded_history(rate_games(months, by_day=True))
+
+
+# Some games of the log lose a field, and teams with a negative budget are not on the roster.
+_BROKEN_SQL = """select game_id, league, season, day_num, case when game_id % 19 = 0 then null else w_id end as w_id,
+    case when game_id % 23 = 0 then null else l_score end as l_score, l_id, w_score from contests"""
+
+
+@query("r6_errors", sql(
+    f"""select game_id, season, w_id, l_id, l_score from ({_BROKEN_SQL})
+    where w_id is null or l_score is null or w_id not in (select team_id from teams where budget >= 0)
+    or l_id not in (select team_id from teams where budget >= 0)""", "contests", "teams"))
+def _(spark, sf):
+    """Games a rating run sets aside: a missing field, or a team that is not on the roster."""
+    key = F.col("game_id")
+    broken = t.game_log(spark, sf).withColumns({
+        "w_id": F.when(key % 19 != 0, F.col("w_id")), "l_score": F.when(key % 23 != 0, F.col("l_score")),
+    })
+    able = t.teams(spark, sf).filter("budget >= 0").select(F.col("team_id").alias("team"))
+    sides = F.explode(F.array("w_id", "l_id")).alias("team")
+    roster = t.game_log(spark, sf).select("league", sides).distinct().join(able, "team")
+    return unratable(broken, roster).select("game_id", "season", "w_id", "l_id", "l_score")
+
+
+@query("r7_resumed_snapshots", sql(
+    "select league, season, team, round(rating, 3) as rating from snapshots where season >= 1996", "snapshots"))
+def _(spark, sf):
+    """Ratings of the later seasons, resumed from all snapshots of the earlier ones."""
+    history = rating_history(spark, sf)
+    before = season_snapshots(history.filter("season < 1996"))
+    resumed = rate_games(t.game_log(spark, sf).filter("season >= 1996"), before)
+    return rounded(season_snapshots(resumed, before), ["rating"], 3)
+
+
 @query("r7_season_snapshots", sql(
     "select league, season, team, round(rating, 3) as rating from snapshots", "snapshots"))
 def _(spark, sf):

@@ -3,11 +3,11 @@
 A day's games all read the ratings at the start of the day; a team playing twice in a day gets the
 sum of both updates. Days of one pool depend on each other, so they run in order:
 
-* pools of up to ``pool_limit`` games are folded one pool per task, many pools at once;
-* larger pools are stepped day by day, each day a distributed join, with every step written to the
-  shared folder.
+* by default pools are folded, one pool per task and many at once, a day at a time;
+* with ``by_day`` they are stepped through together, each day a distributed join, with every step
+  written to the shared folder. That is the way for pools too large for a task; the caller chooses.
 
-Both give the same ratings.
+Both give the same ratings. Games without both teams or both scores go to :func:`unratable` first.
 """
 
 from __future__ import annotations
@@ -23,11 +23,31 @@ from courtline.storage import cut_lineage, new_path
 
 RULES = EloRules()
 _INPUT = ("league", "game_id", "season", "day_num", "w_id", "l_id", "margin", "w_loc")
-# Largest pool folded in one task: about 64 bytes a game, so some 130 MB in a Python worker.
-POOL_LIMIT = 2_000_000
 
 
-def _inputs(games: DataFrame, rules: EloRules) -> DataFrame:
+_NEEDED = ("league", "season", "day_num", "w_id", "l_id", "w_score", "l_score")
+
+
+def unratable(games: DataFrame, roster: DataFrame | None = None) -> DataFrame:
+    """Error output of the rating run: games with a field missing, or with a team that is not on the roster (league, team)."""
+    gaps = games.filter(" or ".join(f"{c} is null" for c in _NEEDED))
+    if roster is None:
+        return gaps
+    rest = games.filter(" and ".join(f"{c} is not null" for c in _NEEDED))
+    return gaps.unionByName(rest.join(_on_roster(rest, roster).select("league", "game_id"), ["league", "game_id"], "left_anti").select(*games.columns))
+
+
+def _on_roster(games: DataFrame, roster: DataFrame) -> DataFrame:
+    known = roster.select("league", "team").distinct()
+    for side in ("w_id", "l_id"):
+        games = games.join(known.withColumnRenamed("team", side), ["league", side], "left_semi")
+    return games
+
+
+def _inputs(games: DataFrame, rules: EloRules, roster: DataFrame | None = None) -> DataFrame:
+    games = games.filter(" and ".join(f"{c} is not null" for c in _NEEDED))
+    if roster is not None:
+        games = _on_roster(games, roster)
     return games.filter(F.col("day_num") >= rules.first_day).select(
         *[(F.col("w_score") - F.col("l_score")).alias("margin") if c == "margin" else F.col(c) for c in _INPUT]
     )
@@ -229,25 +249,27 @@ def step_through_days(
     return spark.read.schema(RATING_HISTORY).parquet(f"{root}/history/*")
 
 
+def latest_opening(snapshots: DataFrame, rules: EloRules = RULES) -> DataFrame:
+    """One opening row per team from snapshots of many seasons: its latest one, carried to its pool's latest season."""
+    held = snapshots.groupBy("league", "team").agg(F.max_by("rating", "season").alias("rating"), F.max("season").alias("season"))
+    pools = held.groupBy("league").agg(F.max("season").alias("pool_season"))
+    return held.join(pools, "league").select(
+        "league", F.col("pool_season").alias("season"), "team",
+        carry_over(F.col("rating"), F.col("pool_season") - F.col("season"), rules).alias("rating"),
+    )
+
+
 def rate_games(
-    games: DataFrame, opening: DataFrame | None = None, rules: EloRules = RULES, pool_limit: int = POOL_LIMIT
+    games: DataFrame, opening: DataFrame | None = None, rules: EloRules = RULES, by_day: bool = False,
+    roster: DataFrame | None = None,
 ) -> DataFrame:
-    """Rating history of every pool over all its seasons.
+    """Rating history of every pool over all its seasons, without the games of :func:`unratable`.
 
-    ``opening`` (league, season, team, rating) resumes from the snapshots of an earlier run.
+    ``opening`` (league, season, team, rating) resumes from the snapshots of an earlier run, of any number of seasons.
     """
-    wanted = _inputs(games, rules)
-    too_big = wanted.groupBy("league").count().filter(F.col("count") > pool_limit).select("league")
-    too_big = cut_lineage(too_big)
-    if too_big.isEmpty():
-        return _fold(wanted, opening, rules)
-    small = wanted.join(too_big, "league", "left_anti")
-    large = wanted.join(too_big, "league", "left_semi")
-    small_opening = large_opening = None
-    if opening is not None:
-        small_opening = opening.join(too_big, "league", "left_anti")
-        large_opening = opening.join(too_big, "league", "left_semi")
-    return _fold(small, small_opening, rules).unionByName(step_through_days(large, large_opening, rules))
+    wanted = _inputs(games, rules, roster)
+    held = None if opening is None else latest_opening(opening, rules)
+    return step_through_days(wanted, held, rules) if by_day else _fold(wanted, held, rules)
 
 
 def season_snapshots(history: DataFrame, opening: DataFrame | None = None, rules: EloRules = RULES) -> DataFrame:

@@ -74,12 +74,12 @@ def test_fold_equals_day_steps(spark):
     late = [(10_000 + i, "late", 2003, d, i % 3, 80, 3 + i % 2, 70, "N") for i, d in enumerate((1, 1, 2, 3))]
     log = games(spark, rows + late)
     folded = by_game(R.rate_games(log))
-    close(folded, by_game(R.rate_games(log, pool_limit=0)))
+    close(folded, by_game(R.rate_games(log, by_day=True)))
 
 
 def test_mixed_pool_sizes(spark):
     log = games(spark, random_games(2, leagues=1, seasons=(2001,), days=5) + [(9_999, "tiny", 2001, 1, 1, 9, 2, 8, "N")])
-    close(by_game(R.rate_games(log)), by_game(R.rate_games(log, pool_limit=3)))
+    close(by_game(R.rate_games(log)), by_game(R.rate_games(log, by_day=True)))
 
 
 def test_a_day_moves_points_but_makes_none(spark):
@@ -97,8 +97,8 @@ def test_resume_equals_one_run(spark):
     whole = R.rate_games(log)
     first = R.rate_games(log.filter("season <= 2001"))
     opening = R.season_snapshots(first).filter("season = 2001")
-    for limit in (R.POOL_LIMIT, 0):
-        rest = R.rate_games(log.filter("season > 2001 and season < 2003"), opening, pool_limit=limit)
+    for by_day in (False, True):
+        rest = R.rate_games(log.filter("season > 2001 and season < 2003"), opening, by_day=by_day)
         close(by_game(whole.filter("season = 2002")), by_game(rest))
     ends = {(r.league, r.season, r.team): r.rating for r in R.season_snapshots(whole).collect()}
     resumed = R.season_snapshots(rest, opening)
