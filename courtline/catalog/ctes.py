@@ -133,18 +133,36 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         select page_id, case when max(quality) = 1 then 'Downloaded' else 'NoAwayTeam' end as status
         from pages join labels on page_id = doc_id group by page_id"""),
     "cells": (("contests",), f"""
+        select * replace (case when game_id % 29 <> 0 then home_score end as home_score,
+            case when game_id % 31 = 0 then 'n/a' else away_score end as away_score,
+            case when game_id % 37 = 0 then 'Postponed' else status_text end as status_text,
+            case when game_id % 41 = 0 then 'Supplier - Box Score - soon' else title end as title,
+            case when game_id % 43 = 0 and away_href is not null then '/team/_/id/none/x' else away_href end as away_href,
+            case when game_id % 47 = 0 then '7' else home_fg end as home_fg) from (
         select game_id, concat('Supplier ', w_id, ' vs. ', l_id, ' - Box Score - ', strftime(o_orderdate, '%B %-d, %Y')) as title,
             case game_id % 7 when 0 then 'Final/OT' when 1 then 'Final/2OT' else 'Final' end as status_text,
             {_href('away', 13)}, {_href('home', 17)}, {_cell('home')}, {_cell('away')}
-        from contests join orders on o_orderkey = game_id"""),
+        from contests join orders on o_orderkey = game_id)"""),
     "checked": (("cells",), """
         select *, case when away_href is null then 'NoAwayTeam' when home_href is null then 'NoHomeTeam'
-            when home_pts = '--' or away_pts = '--' then 'DashesSkipped' else 'Downloaded' end as status
+            when home_pts = '--' or away_pts = '--' then 'DashesSkipped'
+            when """ + " or ".join(
+        f"try_cast({c} as int) is null" for side in ("home", "away") for c in (
+            *[f"{side}_{n}" for n in ("oreb", "dreb", "ast", "stl", "blk", "tov", "pf", "score", "pts")],
+            *[f"string_split({side}_{n}, '-')[{k}]" for n in ("fg", "fg3", "ft") for k in (1, 2)],
+        )
+    ) + """ then 'MissingCells'
+            when status_text not in ('Final', 'Final/OT', 'Final/2OT') then 'NotFinal'
+            when try_strptime(string_split(title, ' - ')[3], '%B %-d, %Y') is null then 'BadTitle'
+            when try_cast(string_split(away_href, '/')[-2] as bigint) is null
+                or try_cast(string_split(home_href, '/')[-2] as bigint) is null then 'UnknownTeam'
+            else 'Downloaded' end as status
         from cells"""),
     "oriented": (("checked",), """
-        select game_id, title, status_text, status, cast(home_score as int) > cast(away_score as int) as home_won,
+        select game_id, title, status_text, status, try_cast(home_score as int) > try_cast(away_score as int) as home_won,
             """ + ", ".join(
-        f"case when cast(home_score as int) > cast(away_score as int) then {a}_{c} else {b}_{c} end as {s}_{c}"
+        f"case when try_cast(home_score as int) > try_cast(away_score as int) then {a}_{c} "
+        f"when try_cast(home_score as int) <= try_cast(away_score as int) then {b}_{c} end as {s}_{c}"
         for s, a, b in (("w", "home", "away"), ("l", "away", "home"))
         for c in ("href", "fg", "fg3", "ft", "oreb", "dreb", "ast", "stl", "blk", "tov", "pf", "score", "pts")
     ) + " from checked"),
@@ -160,7 +178,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     ) + ", " + ", ".join(
         f"try_cast({s}_{c} as int) as {s}_{c}" for s in ("w", "l") for c in ("oreb", "dreb", "ast", "tov", "stl", "blk", "pf")
     ) + """
-        from (select *, cast(strptime(string_split(title, ' - ')[3], '%B %-d, %Y') as date) as d from oriented where status = 'Downloaded')"""),
+        from (select *, cast(try_strptime(string_split(title, ' - ')[3], '%B %-d, %Y') as date) as d from oriented where status = 'Downloaded')"""),
     "name_left": ((), "select distinct p_name as name from part"),
     "name_right": ((), """
         select p_name as candidate from part where length(p_name) % 2 = 0

@@ -57,7 +57,7 @@ def _(spark, sf):
 
 @query("f7_title_day", sql(
     """select game_id, d as game_date, cast(date_diff('day', date '1994-11-04', d) as int) as day_num from (
-    select game_id, cast(strptime(string_split(title, ' - ')[3], '%B %-d, %Y') as date) as d from cells)""", "cells"))
+    select game_id, cast(try_strptime(string_split(title, ' - ')[3], '%B %-d, %Y') as date) as d from cells)""", "cells"))
 def _(spark, sf):
     date = text.title_date("title")
     start = F.lit("1994-11-04").cast("date")
@@ -102,7 +102,7 @@ def _(spark, sf):
 
 
 @query("h3_oriented_cells", sql(
-    """select game_id, case when home_won then 'H' else 'A' end as w_loc, w_href, l_href, w_score, l_score, w_pts, l_pts, w_fg, l_fg
+    """select game_id, case when home_won then 'H' when not home_won then 'A' end as w_loc, w_href, l_href, w_score, l_score, w_pts, l_pts, w_fg, l_fg
     from oriented""", "oriented"))
 def _(spark, sf):
     return ingest.orient(t.box_cells(spark, sf)).select(
@@ -115,6 +115,21 @@ def _(spark, sf):
     return ingest.page_status(t.box_cells(spark, sf)).select("game_id", "status")
 
 
+@query("h4_quarantine", sql("select game_id, status, title, status_text, home_score, away_score from checked where status <> 'Downloaded'", "checked"))
+def _(spark, sf):
+    return ingest.rejected(t.box_cells(spark, sf)).select("game_id", "status", "title", "status_text", "home_score", "away_score")
+
+
+# Ids of teams with a negative budget are unknown; the others are stored as their number in the roster plus a million.
+@query("h5_translated_games", sql("""select * replace (w_id + 1000000 as w_id, l_id + 1000000 as l_id, cast(1994 as int) as season,
+    cast(day_num + date_diff('day', date '1994-11-04', make_date(season, 1, 1)) as int) as day_num) from typed
+    where w_id in (select team_id from teams where budget >= 0) and l_id in (select team_id from teams where budget >= 0)""", "typed", "teams"))
+def _(spark, sf):
+    """Games with their ids translated, of a season that is given with its first day."""
+    known = t.teams(spark, sf).filter("budget >= 0").select(F.col("team_id").alias("foreign_id"), (F.col("team_id") + 1_000_000).alias("team_id"))
+    return ingest.process(t.box_cells(spark, sf), 1994, "1994-11-04", known)[0]
+
+
 @query("h5_typed_games", sql("select * from typed", "typed"))
 def _(spark, sf):
     return ingest.process(t.box_cells(spark, sf))[0]

@@ -35,15 +35,15 @@ def longest_token(text: Column | str) -> Column:
 
 
 def overtimes(status: Column | str) -> Column:
-    """``Final`` 0, ``Final/OT`` 1, ``Final/2OT`` 2."""
-    after = F.get(F.split(_col(status), "/"), F.lit(1))
-    count = F.regexp_replace(after, "OT", "")
-    return F.when(after.isNull(), 0).when(count == "", 1).otherwise(count.try_cast("int"))
+    """``Final`` 0, ``Final/OT`` 1, ``Final/2OT`` 2; null for a game that is not final."""
+    said = _col(status)
+    count = F.regexp_extract(said, r"^Final/(\d*)OT$", 1)
+    return F.when(said == "Final", 0).when(said == "Final/OT", 1).otherwise(count.try_cast("int"))
 
 
 def title_date(title: Column | str) -> Column:
-    """Date in the third `` - ``-separated part of a page title, such as ``March 5, 1998``."""
-    return F.to_date(F.get(F.split(_col(title), " - "), F.lit(2)), "MMMM d, yyyy")
+    """Date in the third `` - ``-separated part of a page title, such as ``March 5, 1998``; null where it is none."""
+    return F.try_to_date(F.get(F.split(_col(title), " - "), F.lit(2)), "MMMM d, yyyy")
 
 
 def day_number(date: Column | str, start: Column | str) -> Column:

@@ -30,7 +30,12 @@ CELL_CLASSES = {
     "tov": "to", "pf": "pf", "pts": "pts",
 }
 
+# Statuses of a page.
 DOWNLOADED = "Downloaded"
+NO_AWAY_TEAM, NO_HOME_TEAM, DASHES_SKIPPED = "NoAwayTeam", "NoHomeTeam", "DashesSkipped"
+# Statuses of pages that cannot become a game.
+MISSING_CELLS, NOT_FINAL, BAD_TITLE, UNKNOWN_TEAM = "MissingCells", "NotFinal", "BadTitle", "UnknownTeam"
+_PAIRED = ("fg", "fg3", "ft")
 
 
 def links(pages: DataFrame, marker: str) -> DataFrame:
@@ -79,35 +84,83 @@ def box_score_cells(pages: DataFrame) -> DataFrame:
     )
 
 
-def page_status(cells: DataFrame) -> DataFrame:
-    """One status per scraped game; the first reason that applies wins."""
+def _team(side: str) -> Column:
+    return path_segment(f"{side}_href", 2).try_cast("bigint")
+
+
+def _numbers(side: str) -> list[Column]:
+    """All numbers a side must have, null where its text is none."""
+    paired = [n for c in _PAIRED for n in made_and_attempted(f"{side}_{c}")]
+    return paired + [F.col(f"{side}_{c}").try_cast("int") for c in (*CELL_CLASSES, "score") if c not in _PAIRED]
+
+
+def page_status(cells: DataFrame, teams: DataFrame | None = None) -> DataFrame:
+    """One status per scraped game; the first reason that applies wins.
+
+    ``teams`` (foreign_id, team_id) says which ids are known and adds their translation as ``home_team`` and
+    ``away_team``; without it any number will do.
+    """
+    known = []
+    for side in ("home", "away"):
+        if teams is None:
+            known.append(_team(side))
+            continue
+        ids = teams.select(F.col("foreign_id").alias(f"{side}_foreign"), F.col("team_id").alias(f"{side}_team"))
+        # Rows without an id get one of their own that no team has, so they do not meet on one partition.
+        key = F.coalesce(_team(side), -1 - F.pmod(F.xxhash64("game_id"), F.lit(1 << 40)))
+        cells = cells.withColumn(f"{side}_foreign", key).join(ids, f"{side}_foreign", "left").drop(f"{side}_foreign")
+        known.append(F.col(f"{side}_team"))
+
+    def lacks(values: list[Column]) -> Column:
+        return F.coalesce(*[F.when(v.isNull(), True) for v in values], F.lit(False))
+
     status = (
-        F.when(F.col("away_href").isNull(), "NoAwayTeam")
-        .when(F.col("home_href").isNull(), "NoHomeTeam")
-        .when((F.col("home_pts") == "--") | (F.col("away_pts") == "--"), "DashesSkipped")
+        F.when(F.col("away_href").isNull(), NO_AWAY_TEAM)
+        .when(F.col("home_href").isNull(), NO_HOME_TEAM)
+        .when((F.col("home_pts") == "--") | (F.col("away_pts") == "--"), DASHES_SKIPPED)
+        .when(lacks(_numbers("home") + _numbers("away")), MISSING_CELLS)
+        .when(overtimes("status_text").isNull(), NOT_FINAL)
+        .when(title_date("title").isNull(), BAD_TITLE)
+        .when(lacks(known), UNKNOWN_TEAM)
         .otherwise(DOWNLOADED)
     )
     return cells.withColumn("status", status)
 
 
+def rejected(cells: DataFrame, teams: DataFrame | None = None) -> DataFrame:
+    """Quarantine: the scraped rows that make no game, with the reason."""
+    return page_status(cells, teams).filter(F.col("status") != DOWNLOADED)
+
+
 def orient(cells: DataFrame) -> DataFrame:
-    """Home/away cells as winner/loser cells; a tie counts as an away win, so the location is H or A."""
-    home_won = F.col("home_score").cast("int") > F.col("away_score").cast("int")
+    """Home/away cells as winner/loser cells; a tie counts as an away win, so the location is H or A.
+
+    Without two scores there is neither winner nor loser, and everything of both is null.
+    """
+    home_won = F.col("home_score").try_cast("int") > F.col("away_score").try_cast("int")
     names = [c.removeprefix("home_") for c in cells.columns if c.startswith("home_")]
     rest = [c for c in cells.columns if not c.startswith(("home_", "away_"))]
 
     def sides(winner: bool) -> list[Column]:
         return [
-            F.when(home_won == winner, F.col(f"home_{c}")).otherwise(F.col(f"away_{c}")).alias(f"{'w' if winner else 'l'}_{c}")
+            F.when(home_won == F.lit(winner), F.col(f"home_{c}")).when(home_won != F.lit(winner), F.col(f"away_{c}")).alias(
+                f"{'w' if winner else 'l'}_{c}"
+            )
             for c in names
         ]
 
-    return cells.select(*rest, F.when(home_won, "H").otherwise("A").alias("w_loc"), *sides(True), *sides(False))
+    return cells.select(*rest, F.when(home_won, "H").when(~home_won, "A").alias("w_loc"), *sides(True), *sides(False))
+
 
+def typed_games(oriented: DataFrame, season: int | None = None, start: str | None = None) -> DataFrame:
+    """Typed game rows from oriented cells: ids, scores, day, overtimes and both sides' counts.
 
-def typed_games(oriented: DataFrame) -> DataFrame:
-    """Typed game rows from oriented cells: ids, scores, day, overtimes and both sides' counts."""
+    ``season`` and its first day ``start`` (an ISO date) are those of the batch; without them the calendar year of
+    the game is its season.
+    """
     date = title_date("title")
+    first = F.make_date(F.year(date), F.lit(1), F.lit(1)) if start is None else F.lit(start).cast("date")
+    translated = "w_team" in oriented.columns
 
     def side(s: str) -> list[Column]:
         fgm, fga = made_and_attempted(f"{s}_fg")
@@ -118,11 +171,11 @@ def typed_games(oriented: DataFrame) -> DataFrame:
 
     return oriented.select(
         "game_id",
-        F.year(date).alias("season"),
-        day_number(date, F.make_date(F.year(date), F.lit(1), F.lit(1))).alias("day_num"),
-        path_segment("w_href", 2).try_cast("bigint").alias("w_id"),
+        (F.year(date) if season is None else F.lit(season)).alias("season"),
+        day_number(date, first).alias("day_num"),
+        (F.col("w_team") if translated else _team("w")).alias("w_id"),
         F.col("w_pts").try_cast("int").alias("w_score"),
-        path_segment("l_href", 2).try_cast("bigint").alias("l_id"),
+        (F.col("l_team") if translated else _team("l")).alias("l_id"),
         F.col("l_pts").try_cast("int").alias("l_score"),
         "w_loc",
         overtimes("status_text").alias("num_ot"),
@@ -137,31 +190,44 @@ def pending(cells: DataFrame, ledger: DataFrame, key: str = "game_id", retry: tu
     return cells.join(done.select(key), key, "left_anti")
 
 
-def process(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(typed games of the complete rows, status per key)."""
-    checked = page_status(cells)
-    good = typed_games(orient(checked.filter(F.col("status") == DOWNLOADED).drop("status")))
+def process(
+    cells: DataFrame, season: int | None = None, start: str | None = None, teams: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(typed games of the complete rows, status per key); with ``teams`` their ids are translated."""
+    checked = page_status(cells, teams)
+    good = typed_games(orient(checked.filter(F.col("status") == DOWNLOADED).drop("status")), season, start)
     return good, checked.select("game_id", "status")
 
 
+def _one_per_game(rows: DataFrame) -> DataFrame:
+    """The least row of each game, so that copies and reruns agree."""
+    rest = F.struct(*[c for c in rows.columns if c != "game_id"])
+    return rows.groupBy("game_id").agg(F.min(rest).alias("row")).select("game_id", "row.*")
+
+
 def run_ingest(
-    spark: SparkSession, cells: DataFrame, results_path: str, ledger_path: str, retry: tuple[str, ...] = ()
+    spark: SparkSession, cells: DataFrame, results_path: str, ledger_path: str, retry: tuple[str, ...] = (),
+    season: int | None = None, start: str | None = None, teams: DataFrame | None = None,
 ) -> None:
-    """Append the new games, then their statuses.
+    """Append the new games, then their statuses; a game scraped twice counts once.
 
     A crash between the two appends repeats the batch; :func:`read_results` and :func:`read_ledger`
     drop the copies.
     """
     ledger = spark.read.schema(LEDGER).parquet(ledger_path)
-    batch = cut_lineage(pending(cells, ledger, retry=retry))
-    games, statuses = process(batch)
+    batch = cut_lineage(_one_per_game(pending(cells, ledger, retry=retry)))
+    games, statuses = process(batch, season, start, teams)
     games.write.mode("append").parquet(results_path)
     statuses.write.mode("append").parquet(ledger_path)
 
 
 def read_results(spark: SparkSession, results_path: str) -> DataFrame:
-    return spark.read.parquet(results_path).distinct()
+    """One row per game."""
+    return _one_per_game(spark.read.parquet(results_path))
 
 
 def read_ledger(spark: SparkSession, ledger_path: str) -> DataFrame:
-    return spark.read.schema(LEDGER).parquet(ledger_path).distinct()
+    """One status per game: once downloaded it stays so, whatever was retried before."""
+    done = F.max(F.when(F.col("status") == DOWNLOADED, DOWNLOADED))
+    rows = spark.read.schema(LEDGER).parquet(ledger_path)
+    return rows.groupBy("game_id").agg(F.coalesce(done, F.max("status")).alias("status"))

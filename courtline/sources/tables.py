@@ -200,7 +200,15 @@ def box_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return games.join(dates, "game_id").select(
         "game_id", title.alias("title"), status.alias("status_text"),
         href("away", 13), href("home", 17), *cells("home"), *cells("away"),
-    )
+    ).withColumns({
+        # Broken pages: a score or count that is missing or no number, a game not played, a title without a date, a link without an id.
+        "home_score": F.when(F.col("game_id") % 29 != 0, F.col("home_score")),
+        "away_score": F.when(F.col("game_id") % 31 == 0, "n/a").otherwise(F.col("away_score")),
+        "status_text": F.when(F.col("game_id") % 37 == 0, "Postponed").otherwise(F.col("status_text")),
+        "title": F.when(F.col("game_id") % 41 == 0, "Supplier - Box Score - soon").otherwise(F.col("title")),
+        "away_href": F.when((F.col("game_id") % 43 == 0) & F.col("away_href").isNotNull(), "/team/_/id/none/x").otherwise(F.col("away_href")),
+        "home_fg": F.when(F.col("game_id") % 47 == 0, "7").otherwise(F.col("home_fg")),
+    })
 
 
 def box_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,9 +217,8 @@ def box_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def block(side: str):
         link = F.coalesce(F.concat(F.lit('<a class="team-name" href="'), F.col(f"{side}_href"), F.lit('">team</a>')), F.lit("unlinked"))
-        return F.concat(
-            F.lit(f'<section><div class="team {side}">'), link, F.lit('<div class="score">'), F.col(f"{side}_score"), F.lit("</div></div></section>")
-        )
+        score = F.coalesce(F.concat(F.lit('<div class="score">'), F.col(f"{side}_score"), F.lit("</div>")), F.lit(""))
+        return F.concat(F.lit(f'<section><div class="team {side}">'), link, score, F.lit("</div></section>"))
 
     def totals(side: str):
         one = [F.concat(F.lit(f'<td class="{label}">'), F.col(f"{side}_{c}"), F.lit("</td>")) for c, label in CELL_CLASSES.items()]

@@ -46,6 +46,23 @@ def test_a_tie_is_an_away_win(spark):
     assert (got.w_loc, got.w_x, got.l_x) == ("A", "a", "h")
 
 
+def test_broken_cells_make_no_game(spark, small):
+    cells = tables.box_cells(spark, small)
+    games, statuses = ingest.process(cells)
+    assert games.filter("w_id is null or l_id is null or w_id = l_id or w_score is null or l_score is null").count() == 0
+    seen = {r.status for r in statuses.select("status").distinct().collect()}
+    assert {"MissingCells", "NotFinal", "BadTitle", "UnknownTeam", "Downloaded"} <= seen
+    assert ingest.rejected(cells).count() + games.count() == cells.count() == statuses.count()
+    row = spark.createDataFrame([(None, "7", "h", "a"), ("--", "7", "h", "a")], "home_score string, away_score string, home_x string, away_x string")
+    assert {(r.w_loc, r.w_x, r.l_x) for r in ingest.orient(row).collect()} == {(None, None, None)}
+
+
+def test_a_retried_game_has_one_status(spark):
+    ledger = new_path(spark, "ledger")
+    spark.createDataFrame([(1, "DashesSkipped"), (1, "Downloaded"), (2, "NotFinal")], LEDGER).write.parquet(ledger)
+    assert {tuple(r) for r in ingest.read_ledger(spark, ledger).collect()} == {(1, "Downloaded"), (2, "NotFinal")}
+
+
 def test_stream_reads_each_file_once(spark, small):
     cells = tables.box_cells(spark, small)
     folder, out, state = (new_path(spark, n) for n in ("incoming", "accepted", "state"))
