@@ -238,6 +238,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "current_stats": (("rolling",), """
         select * from (select *, row_number() over (partition by season, team order by day_num desc, outcome) as rn
             from rolling where day_num < {cutoff}) where rn = 1"""),
+    "played": (("facts",), "select season, team, count(*) as n from facts where day_num < {cutoff} group by season, team"),
     "day_step": (("contests", "teams"), f"""
         select g.league, g.game_id, g.season, g.day_num, {pred_sql('w.rating', 'l.rating')} as pred,
             {update_sql('w.rating', 'l.rating')} as "update", g.w_id, w.rating as w_elo,
@@ -297,7 +298,7 @@ def sql(body: str, *names: str, cutoff: int | None = None) -> str:
     blocks = []
     for name in _ordered(names):
         text = CTES[name][1]
-        if name in ("elo_before", "current_stats", "current_coach"):
+        if name in ("elo_before", "current_stats", "current_coach", "played"):
             text = text.format(cutoff=cutoff)
         header = "state(d, league, team, rating)" if name == "state" else name
         blocks.append(f"{header} as ({text})")

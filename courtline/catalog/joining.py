@@ -106,8 +106,7 @@ def _(spark, sf):
     return rounded(latest(trailing_table(spark, sf), ["season", "team"], "day_num", before=CUTOFF_DAY), TRAILING)
 
 
-_UPCOMING_SQL = sql(
-    f"""select p.league, p.season, {FEATURE_DAY} as day_num, p.orientation, p.w_id, wn.team_name as w_name, p.l_id,
+UPCOMING_ROW_SQL = f"""select p.league, p.season, {FEATURE_DAY} as day_num, p.orientation, p.w_id, wn.team_name as w_name, p.l_id,
         ln.team_name as l_name, 'N' as w_loc, 0 as w_score, 0 as l_score, wc.coach as w_coach, lc.coach as l_coach,
         round(we.elo, 3) as w_elo, round(le.elo, 3) as l_elo, {_TRAILING_SQL}
     from (select league, season, 1 as orientation, team_1 as w_id, team_2 as l_id from pairs
@@ -118,8 +117,9 @@ _UPCOMING_SQL = sql(
     left join elo_before we on we.league = p.league and we.season = p.season and we.team = p.w_id
     left join elo_before le on le.league = p.league and le.season = p.season and le.team = p.l_id
     left join current_stats w on w.season = p.season and w.team = p.w_id
-    left join current_stats l on l.season = p.season and l.team = p.l_id""",
-    "pairs", "teams", "current_coach", "elo_before", "current_stats", cutoff=CUTOFF_DAY,
+    left join current_stats l on l.season = p.season and l.team = p.l_id"""
+_UPCOMING_SQL = sql(
+    UPCOMING_ROW_SQL, "pairs", "teams", "current_coach", "elo_before", "current_stats", cutoff=CUTOFF_DAY
 )
 
 

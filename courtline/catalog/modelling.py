@@ -6,8 +6,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from courtline.catalog.ctes import sql
-from courtline.catalog.joining import _COMPLETE, FEATURE_ROW_SQL, complete_rows, predictions, upcoming
-from courtline.catalog.registry import SEQUENCE_DAY, query
+from courtline.catalog.joining import _COMPLETE, FEATURE_ROW_SQL, UPCOMING_ROW_SQL, complete_rows, predictions, upcoming
+from courtline.catalog.registry import CUTOFF_DAY, SEQUENCE_DAY, query
 from courtline.catalog.shaping import field_pairs, rounded
 from courtline.operators.indexing import fit_bounds, frequency_index, hash_bucket, scaled_sql, with_index
 from courtline.operators.matchups import submission_full
@@ -16,6 +16,7 @@ from courtline.plans import models as m
 from courtline.plans import sequences as q
 from courtline.schemas import STATS
 from courtline.sources import tables as t
+from courtline.storage import kept_table
 
 
 def bounds(spark, sf):
@@ -122,21 +123,33 @@ def _(spark, sf):
 _TREES = {"depth": 5, "rounds": 10}
 
 
-@query("m7_score_regression")
+def written_rows(spark, sf):
+    """The complete feature rows, written once: a fit reads its rows many times."""
+    return kept_table(spark, sf, "complete_rows", lambda: complete_rows(spark, sf))
+
+
+_BOTH_SCORES = "w_pred is not null and l_pred is not null"
+_HELD_OUT = "((game_id % 1000003) * 48271 + 17) % 100 < 30"
+
+
+@query("m7_score_regression", sql(
+    f"""select season, count(*) as games, count(*) as scored from ({FEATURE_ROW_SQL}) where {_COMPLETE} and {_HELD_OUT}
+    group by season""", "contests", "ratings", "tenures", "rolling"))
 def _(spark, sf):
-    """Held-out error of both regressions, trained on the other 70 percent."""
-    train, test = m.training_split(complete_rows(spark, sf), "game_id")
+    """Held-out games, and how many of them get both scores, from regressions trained on the other 70 percent."""
+    train, test = m.training_split(written_rows(spark, sf), "game_id")
     scored = m.ScoreModels.fit(train, **_TREES).score(test)
-    error = lambda s: F.sqrt(F.avg(F.pow(F.col(f"{s}_score") - F.col(f"{s}_pred"), F.lit(2.0))))
-    return scored.agg(F.count(F.lit(1)).alias("games"), error("w").alias("w_rmse"), error("l").alias("l_rmse"))
+    return scored.groupBy("season").agg(F.count(F.lit(1)).alias("games"), F.count_if(F.expr(_BOTH_SCORES)).alias("scored"))
 
 
-@query("m8_round_scores")
+@query("m8_round_scores", sql(
+    f"""select league, season, orientation, w_id, w_name, l_id, l_name, ({_COMPLETE}) as scored from ({UPCOMING_ROW_SQL})""",
+    "pairs", "teams", "current_coach", "elo_before", "current_stats", cutoff=CUTOFF_DAY))
 def _(spark, sf):
-    """Scores of every pairing of every field in both orientations."""
-    models = m.ScoreModels.fit(complete_rows(spark, sf), **_TREES)
-    return models.score(upcoming(spark, sf)).select(
-        "league", "season", "orientation", "w_id", "w_name", "l_id", "l_name", "w_pred", "l_pred"
+    """Every pairing of every field in both orientations, and whether it gets both scores: all its features are known."""
+    scored = m.ScoreModels.fit(written_rows(spark, sf), **_TREES).score(upcoming(spark, sf))
+    return scored.select(
+        "league", "season", "orientation", "w_id", "w_name", "l_id", "l_name", F.expr(_BOTH_SCORES).alias("scored")
     )
 
 
@@ -147,31 +160,40 @@ def classifier(spark, sf):
     seasons = games.agg(F.min("season"), F.max("season")).first()
     teams = t.teams(spark, sf)
     size = teams.count()
-    slots = min(size, q.TEAM_SLOTS)
     facts = q.indexed_facts(t.facts(spark, sf), q.team_vocabulary(teams), size)
-    encode = lambda rows: q.encoded(rows, fitted, (seasons[0], seasons[1]), 366, slots)[0]
+    encode = lambda rows: q.encoded(rows, fitted, (seasons[0], seasons[1]), 366, size)[0]
     training = encode(q.sequence_games(games, facts=facts)).select("game_id", "label", "features")
     return training, facts, encode
 
 
-@query("m9_winner_classifier")
+@query("m9_winner_classifier", sql(
+    f"select distinct game_id, label, true as scored from sequence where {_HELD_OUT}", "sequence"))
 def _(spark, sf):
-    """Held-out accuracy of the sequence classifier."""
+    """Held-out games of the sequence classifier, and whether each gets a probability."""
     training, _, _ = classifier(spark, sf)
     train, test = m.training_split(training, "game_id")
-    model = m.fit_winner_classifier(train.cache(), iterations=20)
+    model = m.fit_winner_classifier(train.cache())
     train.unpersist()
-    right = (F.col("p_lower") > 0.5) == (F.col("label") == 1)
-    return m.lower_win_probability(model, test).agg(
-        F.count(F.lit(1)).alias("games"), F.avg(right.cast("double")).alias("accuracy")
+    return m.lower_win_probability(model, test).select(
+        "game_id", "label", F.coalesce(F.col("p_lower").between(0, 1), F.lit(False)).alias("scored")
     )
 
 
-@query("m9_all_pairs_scores")
+@query("m9_all_pairs_scores", sql(
+    f"""select concat_ws('_', p.season, n1.team_name, n2.team_name) as info, known as scored,
+        case when known then 1.0 end as total
+    from (select p.*, coalesce(a.n >= 5 and b.n >= 5, false) as known from pairs p
+        left join played a on a.season = p.season and a.team = p.team_1
+        left join played b on b.season = p.season and b.team = p.team_2) p
+    join teams n1 on n1.team_id = p.team_1 join teams n2 on n2.team_id = p.team_2""",
+    "pairs", "teams", "played", cutoff=SEQUENCE_DAY))
 def _(spark, sf):
-    """Win probability of every pairing; a pair short of history has a null probability."""
+    """Every pairing, whether it gets a win probability, and the sum of both sides' probabilities.
+
+    A pair short of history has a null probability.
+    """
     training, facts, encode = classifier(spark, sf)
-    model = m.fit_winner_classifier(training.cache(), iterations=20)
+    model = m.fit_winner_classifier(training.cache())
     training.unpersist()
     pairs = q.sequence_pairs(field_pairs(spark, sf), facts, SEQUENCE_DAY)
     ready = encode(pairs.filter("recent_1 is not null and recent_2 is not null"))
@@ -180,13 +202,16 @@ def _(spark, sf):
     names = t.teams(spark, sf).select("team_id", "team_name")
     full = pairs.select(*keys).join(scored, keys, "left")
     named = full.join(names.toDF("team_1", "name_1"), "team_1").join(names.toDF("team_2", "name_2"), "team_2")
-    return submission_full(named)
+    return submission_full(named).select(
+        "info", F.coalesce(F.col("prediction1").between(0, 1), F.lit(False)).alias("scored"),
+        F.round(F.col("prediction1") + F.col("prediction2"), 1).alias("total"),
+    )
 
 
 @query("m10_search_leaderboard")
 def _(spark, sf):
     """Candidates of the seeded search by hold-out accuracy."""
-    rows = q.stat_vector(sequences(spark, sf), bounds(spark, sf)).select("label", F.col("stats").alias("features")).cache()
-    found = m.search(rows, m.sample_candidates(4, 4 * len(STATS) * q.HISTORY, seed=1100), iterations=15)
+    rows = q.stat_vector(sequences(spark, sf), bounds(spark, sf)).select("game_id", "label", F.col("stats").alias("features")).cache()
+    found = m.search(rows, "game_id", m.sample_candidates(4, 4 * len(STATS) * q.HISTORY, seed=1100), iterations=15)
     rows.unpersist()
     return m.leaderboard(found)

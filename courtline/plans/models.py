@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import random
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Model
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.ml.tuning import TrainValidationSplit
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,11 +79,11 @@ class ScoreModels:
         return ScoreModels(codes, *models)
 
     def score(self, rows: DataFrame) -> DataFrame:
-        """Both scores on one frame, no join; rows with a missing feature get null scores."""
+        """Both scores on one frame, no join; rows with a missing feature or coach get null scores."""
         vectors = assemble(self.codes.apply(rows), handle_invalid="keep")
         both = self.w.transform(vectors).withColumnRenamed("prediction", "w_pred")
         both = self.l.transform(both).withColumnRenamed("prediction", "l_pred")
-        gaps = F.exists(vector_to_array("features"), F.isnan)
+        gaps = F.exists(vector_to_array("features"), F.isnan) | F.col("w_coach").isNull() | F.col("l_coach").isNull()
         return both.withColumns({c: F.when(~gaps, F.col(c)) for c in ("w_pred", "l_pred")}).drop("features")
 
 
@@ -121,19 +122,28 @@ def sample_candidates(count: int, inputs: int, seed: int) -> list[tuple[list[int
 
 
 def search(
-    rows: DataFrame, candidates: list[tuple[list[int], str]], iterations: int = 50, seed: int = 1100, parallelism: int = 4
+    rows: DataFrame, key: str, candidates: list[tuple[list[int], str]], iterations: int = 50, seed: int = 1100,
+    parallelism: int = 4,
 ) -> DataFrame:
-    """Hold-out accuracy of each candidate (70/30): (candidate, generation, score, layers, solver)."""
-    net = MultilayerPerceptronClassifier(featuresCol="features", labelCol="label", maxIter=iterations, seed=seed)
-    grid = [{net.layers: layers, net.solver: solver} for layers, solver in candidates]
-    tuned = TrainValidationSplit(
-        estimator=net, estimatorParamMaps=grid, trainRatio=0.7, parallelism=parallelism, seed=seed,
-        evaluator=MulticlassClassificationEvaluator(labelCol="label", metricName="accuracy"),
-    ).fit(rows)
-    scored = [
-        (i, 1, float(metric), layers[1:-1], solver)
-        for i, ((layers, solver), metric) in enumerate(zip(candidates, tuned.validationMetrics))
-    ]
+    """Hold-out accuracy of each candidate: (candidate, generation, score, layers, solver).
+
+    Training and held-out rows are told apart by ``key`` (70/30), so scores do not hang on the partitioning.
+    """
+    train, test = training_split(rows, key)
+    train, test = train.persist(), test.persist()
+
+    def score(place: int) -> tuple:
+        layers, solver = candidates[place]
+        net = MultilayerPerceptronClassifier(
+            featuresCol="features", labelCol="label", maxIter=iterations, seed=seed, layers=layers, solver=solver
+        )
+        return place, 1, accuracy(net.fit(train).transform(test)), layers[1:-1], solver
+
+    try:
+        with ThreadPool(parallelism) as pool:
+            scored = pool.map(inheritable_thread_target(rows.sparkSession)(score), range(len(candidates)))
+    finally:
+        train.unpersist(), test.unpersist()
     return rows.sparkSession.createDataFrame(scored, CANDIDATE)
 
 

@@ -66,10 +66,11 @@ def test_encoding_width_and_content(encoded):
         assert hot.sum() == 1 + 2 * 6 and set(hot) == {0.0, 1.0}
 
 
-def test_large_vocabularies_are_hashed(spark, small):
+def test_every_team_has_a_slot_of_its_own(spark, small):
     facts = team_games(tables.game_log(spark, small), stats=())
-    got = q.indexed_facts(facts, None, size=10**6, slots=8).agg(F.min("team_slot"), F.max("opp_slot")).first()
-    assert 0 <= got[0] and got[1] < 8
+    vocabulary = q.team_vocabulary(tables.teams(spark, small))
+    got = q.indexed_facts(facts, vocabulary, tables.teams(spark, small).count()).select("team", "team_slot").distinct()
+    assert got.count() == got.select("team").distinct().count() == got.select("team_slot").distinct().count()
 
 
 def test_classifier_learns_a_plain_rule(spark):
@@ -113,3 +114,15 @@ def test_leaderboard_puts_nan_last(spark):
 def test_candidates_are_seeded():
     assert m.sample_candidates(5, 10, 1) == m.sample_candidates(5, 10, 1) != m.sample_candidates(5, 10, 2)
     assert all(layers[0] == 10 and layers[-1] == 2 and 3 <= len(layers) <= 6 for layers, _ in m.sample_candidates(30, 10, 3))
+
+
+def test_search_does_not_hang_on_partitioning(spark):
+    rows = spark.range(0, 300).selectExpr("id", "cast(id % 3 = 0 as int) as label", "array(cast(id % 3 as double), 1D) as a")
+    from pyspark.ml.functions import array_to_vector
+
+    rows = rows.select("id", "label", array_to_vector("a").alias("features"))
+    found = m.search(rows, "id", [([2, 4, 2], "l-bfgs"), ([2, 8, 2], "l-bfgs")], iterations=20)
+    assert [r.candidate for r in found.collect()] == [0, 1]
+    assert all(0.0 <= r.score <= 1.0 for r in found.collect())
+    held = m.training_split(rows.repartition(7), "id")[1]
+    assert held.exceptAll(m.training_split(rows, "id")[1]).count() == 0
