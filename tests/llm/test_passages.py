@@ -6,33 +6,72 @@ import random
 import pytest
 
 from courtline.llm import decontaminate, suffixes
-from tests_llm_brute import brute_spans
+from tests_llm_brute import joined, matched_words, shared_words
 
 
 @pytest.fixture(scope="module")
 def overlapping():
+    """Texts that share passages, whole, cut short, or with words changed, left out or put in."""
     rng = random.Random(1)
-    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randint(1, 5)))
-    passages = [[word() for _ in range(n)] for n in (49, 50, 51, 60, 90, 200)]
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6)))
+    passages = [[word() for _ in range(n)] for n in (30, 49, 51, 60, 90, 200)]
     texts = []
-    for i in range(60):
+    for i in range(70):
         w = [word() for _ in range(rng.randint(0, 80))]
         for p in rng.sample(passages, rng.randint(0, 3)):
-            a = rng.randint(0, 12)
-            w += p[a:] if rng.random() < 0.3 else p
-            w += [word() for _ in range(rng.randint(0, 40))]
-        if i % 7 == 0 and texts:
-            w = texts[-1][1].split()
-            w[len(w) // 2 : len(w) // 2] = ["EDIT"]
-        texts.append((i, " ".join(w)))
+            p = p[rng.randint(0, 12):] if rng.random() < 0.3 else list(p)
+            for _ in range(rng.randint(0, 3)):
+                at = rng.randrange(len(p))
+                p[at : at + rng.randint(0, 2)] = [word() for _ in range(rng.randint(0, 2))]
+            w += p + [word() for _ in range(rng.randint(0, 40))]
+        texts.append((i // 2 if i > 60 else i, " ".join(w)))
     return texts
 
 
+def spans_of(texts, frame):
+    """The operator's spans by place in ``texts``."""
+    import xxhash
+
+    found = collections.defaultdict(set)
+    for r in frame.collect():
+        found[r.doc_id, r.text_hash].add((r.start_word, r.end_word))
+    code = lambda t: (xxhash.xxh64_intdigest(t.encode(), 42) + (1 << 63)) % (1 << 64) - (1 << 63)
+    return [sorted(found[i, code(t)]) for i, t in texts]
+
+
 @pytest.mark.parametrize("limit", [20_000, 1])
 @pytest.mark.parametrize("spare_first", [False, True])
 def test_spans_match_brute_force(make, overlapping, limit, spare_first):
-    got = suffixes.repeated_passages(make(overlapping), group_limit=limit, spare_first=spare_first)
-    assert sorted(map(tuple, got.collect())) == brute_spans(overlapping, 50, spare_first)
+    """Nothing that shares 19 words is missed, nothing that shares fewer than 8 counts, and in between the retained
+    suffixes, extended word by word, say what is found."""
+    got = spans_of(overlapping, suffixes.repeated_passages(make(overlapping), group_limit=limit, spare_first=spare_first))
+    sure, all_ = shared_words(overlapping, 19, spare_first), shared_words(overlapping, 8, spare_first)
+    for k, covered in enumerate(matched_words(overlapping, spare_first)):
+        assert got[k] == joined(covered, 16, 50)
+        assert all(any(a <= x and y <= b for a, b in got[k]) for x, y in joined(sure[k], 16, 50))
+        assert all(covered[x] <= all_[k][x] for x in range(len(covered)))
+    assert sum(map(len, got)) > 40
+
+
+def test_edits_inside_a_passage_do_not_break_it(make):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts, wanted = [], 0
+    for i in range(120):
+        passage = [word() for _ in range(rng.randint(56, 120))]
+        for copy in range(2):
+            own = list(passage)
+            if copy:
+                for at in rng.sample(range(5, len(own) - 5), len(own) // 40):
+                    own[at] = word()
+            texts.append((2 * i + copy, " ".join([word() for _ in range(60)] + own + [word() for _ in range(60)])))
+        wanted += 1
+    got = spans_of(texts, suffixes.repeated_passages(make(texts)))
+    assert sum(bool(a) and bool(b) for a, b in zip(got[::2], got[1::2], strict=True)) >= 0.97 * wanted
+    halves = ["q" + word() for _ in range(81)]
+    other = [*halves[:40], "changed", *halves[41:]]
+    pair = [(1, " ".join(halves)), (2, " ".join(other))]
+    assert spans_of(pair, suffixes.repeated_passages(make(pair))) == [[(0, 81)], [(0, 81)]]
 
 
 def test_dropping_leaves_no_repeat(make, overlapping):
@@ -41,17 +80,23 @@ def test_dropping_leaves_no_repeat(make, overlapping):
     assert left.columns == docs.columns
     rows = left.collect()
     assert all(r.n_chars == len(r.text) for r in rows)
-    assert {r.doc_id for r in rows if not brute_spans([(0, r.text)], 50)} and len(rows) <= len(overlapping)
-    first = {i: t for i, t in overlapping}
-    spans = collections.defaultdict(list)
-    for i, a, b in brute_spans(overlapping, 50, True):
-        spans[i].append((a, b))
-    expected = {i: suffixes.without_words(t, spans[i]) for i, t in first.items()}
-    assert {r.doc_id: r.text for r in rows} == {i: t for i, t in expected.items() if t.split() or not spans[i]}
+    spans = spans_of(overlapping, suffixes.repeated_passages(docs, spare_first=True))
+    cut = [(i, suffixes.without_words(t, own)) for (i, t), own in zip(overlapping, spans, strict=True)]
+    assert sorted((r.doc_id, r.text) for r in rows) == sorted(
+        (i, t) for (i, t), own in zip(cut, spans, strict=True) if t.split() or not own
+    )
+
+
+def test_texts_that_share_an_id_are_cut_by_their_own_spans(make):
+    rng = random.Random(4)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    copy, unique = text(100), text(120)
+    left = suffixes.drop_repeats(make([(1, copy), (2, copy), (2, unique), (2, unique), (3, copy)])).collect()
+    assert sorted((r.doc_id, r.text) for r in left) == sorted([(1, copy), (2, unique), (2, unique)])
 
 
 def test_passages_awkward_rows(awkward, make):
-    got = sorted(map(tuple, suffixes.repeated_passages(awkward).collect()))
+    got = sorted((r.doc_id, r.start_word, r.end_word) for r in suffixes.repeated_passages(awkward).collect())
     assert got == [(4, 0, 60_000), (5, 0, 60_000)]
     kept = suffixes.drop_repeats(awkward)
     assert kept.columns == awkward.columns and kept.count() == awkward.count() - 1

@@ -1,10 +1,8 @@
 """The pipeline's stages against brute force on the same documents."""
 
-import collections
-
 import corpus_pipeline
 from courtline.llm import decontaminate, language, suffixes
-from tests_llm_brute import brute_spans, fingerprint, groups
+from tests_llm_brute import fingerprint, groups, joined, matched_words
 
 
 def test_stages_match_brute_force(spark, small, documents):
@@ -28,9 +26,7 @@ def test_stages_match_brute_force(spark, small, documents):
     docs = stages["near_copies"](spark, docs, small)
     assert {r.doc_id: r.text for r in docs.collect()} == texts and docs.columns == documents.columns
 
-    spans = collections.defaultdict(list)
-    for i, a, b in brute_spans(list(texts.items()), 50, True):
-        spans[i].append((a, b))
+    spans = {i: joined(w, 16, 50) for i, w in zip(texts, matched_words(list(texts.items()), True), strict=True)}
     texts = {i: suffixes.without_words(t, spans[i]) for i, t in texts.items()}
     texts = {i: t for i, t in texts.items() if t.split() or not spans[i]}
     docs = stages["repeated_passages"](spark, docs, small)
