@@ -247,13 +247,14 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         from contests g join (select team_id, 1500 + budget / 100 as rating from teams) w on w.team_id = g.w_id
         join (select team_id, 1500 + budget / 100 as rating from teams) l on l.team_id = g.l_id"""),
     "fields": (("facts",), """
-        select league, season, cast((place - 1) // 64 as int) as bracket, team, wins, cast((place - 1) % 64 // 4 + 1 as int) as seed
+        select league, season, team, wins, cast((place - 1) // 4 + 1 as int) as seed
         from (
             select *, row_number() over (partition by league, season order by wins desc, team) as place
-            from (select league, season, team, count(*) filter (outcome = 'W') as wins from facts group by league, season, team))"""),
+            from (select league, season, team, count(*) filter (outcome = 'W') as wins from facts group by league, season, team))
+        where place <= 68"""),
     "pairs": (("fields",), """
-        select a.league, a.season, a.bracket, a.team as team_1, a.seed as seed_1, b.team as team_2, b.seed as seed_2
-        from fields a join fields b on a.league = b.league and a.season = b.season and a.bracket = b.bracket and a.team < b.team"""),
+        select a.league, a.season, a.team as team_1, a.seed as seed_1, b.team as team_2, b.seed as seed_2
+        from fields a join fields b on a.league = b.league and a.season = b.season and a.team < b.team"""),
     "bounds": (("facts",), " union all ".join(
         f"select '{s}' as stat, min({s}) as lo, max({s}) as hi from facts" for s in STATS)),
     "history": (("facts",), """

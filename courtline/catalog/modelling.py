@@ -12,11 +12,12 @@ from courtline.catalog.shaping import field_pairs, rounded
 from courtline.operators.indexing import fit_bounds, frequency_index, hash_bucket, scaled_sql, with_index
 from courtline.operators.matchups import submission_full
 from courtline.operators.rolling import stat_bounds
+from courtline.plans import evolution, recurrent
 from courtline.plans import models as m
 from courtline.plans import sequences as q
 from courtline.schemas import STATS
 from courtline.sources import tables as t
-from courtline.storage import kept_table
+from courtline.storage import kept_model, kept_table, new_path
 
 
 def bounds(spark, sf):
@@ -119,8 +120,8 @@ def _(spark, sf):
     )
 
 
-# The registered regressions use shallower trees and fewer rounds than the library's defaults.
-_TREES = {"depth": 5, "rounds": 10}
+_HELD_OUT = "((game_id % 1000003) * 48271 + 17) % 100 < 30"
+_FEATURES = ("contests", "ratings", "tenures", "rolling")
 
 
 def written_rows(spark, sf):
@@ -128,33 +129,78 @@ def written_rows(spark, sf):
     return kept_table(spark, sf, "complete_rows", lambda: complete_rows(spark, sf))
 
 
-_BOTH_SCORES = "w_pred is not null and l_pred is not null"
-_HELD_OUT = "((game_id % 1000003) * 48271 + 17) % 100 < 30"
+def score_models(spark, sf):
+    """Both score regressions, fitted on the 70 percent of the games."""
+    return kept_model(
+        spark, sf, "scores", lambda: m.ScoreModels.fit(m.training_split(written_rows(spark, sf), "game_id")[0])
+    )
+
+
+def scored_games(spark, sf):
+    return kept_table(spark, sf, "scored_games", lambda: score_models(spark, sf).score(written_rows(spark, sf)).select(
+        "game_id", "season", "w_score", "w_pred", "l_score", "l_pred",
+        F.when(hash_bucket(F.col("game_id"), 17) < 30, "test").otherwise("train").alias("part"),
+    ))
+
+
+@query("m7_score_regression")
+def _(spark, sf):
+    """Held-out games with both scores and what the regressions, trained on the others, say."""
+    held = scored_games(spark, sf).filter("part = 'test'").drop("part")
+    return rounded(held, ["w_pred", "l_pred"], 4)
+
+
+@query("m7_regression_error", sql(
+    f"""select part, count(*) as games, round(sqrt(avg(pow(w_score - w_mean, 2))), 6) as w_constant_rmse,
+        round(sqrt(avg(pow(l_score - l_mean, 2))), 6) as l_constant_rmse,
+        case when part = 'train' then true end as w_beaten, case when part = 'train' then true end as l_beaten
+    from (select *, avg(w_score) filter (part = 'train') over () as w_mean, avg(l_score) filter (part = 'train') over () as l_mean
+        from (select *, case when {_HELD_OUT} then 'test' else 'train' end as part from ({FEATURE_ROW_SQL}) where {_COMPLETE}))
+    group by part""", *_FEATURES))
+def _(spark, sf):
+    """What a constant would be off by, and whether the regressions are at least a tenth closer on what they were fitted to."""
+    scored = scored_games(spark, sf)
+    means = scored.filter("part = 'train'").agg(F.avg("w_score").alias("w"), F.avg("l_score").alias("l")).first()
+    off = lambda side, guess: F.sqrt(F.avg(F.pow(F.col(f"{side}_score") - guess, F.lit(2.0))))
+    errors = scored.groupBy("part").agg(
+        F.count(F.lit(1)).alias("games"), *[off(s, F.lit(means[s])).alias(f"{s}_constant") for s in "wl"],
+        *[off(s, F.col(f"{s}_pred")).alias(f"{s}_rmse") for s in "wl"],
+    )
+    return errors.select(
+        "part", "games", *[F.round(f"{s}_constant", 6).alias(f"{s}_constant_rmse") for s in "wl"],
+        *[F.when(F.col("part") == "train", F.col(f"{s}_rmse") < 0.9 * F.col(f"{s}_constant")).alias(f"{s}_beaten") for s in "wl"],
+    )
 
 
-@query("m7_score_regression", sql(
-    f"""select season, count(*) as games, count(*) as scored from ({FEATURE_ROW_SQL}) where {_COMPLETE} and {_HELD_OUT}
-    group by season""", "contests", "ratings", "tenures", "rolling"))
+def scored_round(spark, sf):
+    return kept_table(spark, sf, "scored_round", lambda: score_models(spark, sf).score(upcoming(spark, sf)).select(
+        "league", "season", "orientation", "w_id", "w_name", "l_id", "l_name", "w_pred", "l_pred"
+    ))
+
+
+@query("m8_round_scores")
 def _(spark, sf):
-    """Held-out games, and how many of them get both scores, from regressions trained on the other 70 percent."""
-    train, test = m.training_split(written_rows(spark, sf), "game_id")
-    scored = m.ScoreModels.fit(train, **_TREES).score(test)
-    return scored.groupBy("season").agg(F.count(F.lit(1)).alias("games"), F.count_if(F.expr(_BOTH_SCORES)).alias("scored"))
+    """Every pairing of every field in both orientations with both predicted scores; null where a feature is unknown."""
+    return rounded(scored_round(spark, sf), ["w_pred", "l_pred"], 4)
 
 
-@query("m8_round_scores", sql(
-    f"""select league, season, orientation, w_id, w_name, l_id, l_name, ({_COMPLETE}) as scored from ({UPCOMING_ROW_SQL})""",
+@query("m8_round_coverage", sql(
+    f"""select league, season, orientation, count(*) as pairs, count(*) filter ({_COMPLETE}) as w_scored,
+        count(*) filter ({_COMPLETE}) as l_scored, count(*) filter ({_COMPLETE}) > 100 as varied
+    from ({UPCOMING_ROW_SQL}) group by league, season, orientation""",
     "pairs", "teams", "current_coach", "elo_before", "current_stats", cutoff=CUTOFF_DAY))
 def _(spark, sf):
-    """Every pairing of every field in both orientations, and whether it gets both scores: all its features are known."""
-    scored = m.ScoreModels.fit(written_rows(spark, sf), **_TREES).score(upcoming(spark, sf))
-    return scored.select(
-        "league", "season", "orientation", "w_id", "w_name", "l_id", "l_name", F.expr(_BOTH_SCORES).alias("scored")
+    """Pairings with predicted scores, by field; a field of some size has many different ones."""
+    each = scored_round(spark, sf).groupBy("league", "season", "orientation")
+    several = (F.count("w_pred") > 100) & (F.count_distinct(F.round("w_pred", 3)) > 10) & (F.count_distinct(F.round("l_pred", 3)) > 10)
+    return each.agg(
+        F.count(F.lit(1)).alias("pairs"), F.count("w_pred").alias("w_scored"), F.count("l_pred").alias("l_scored"),
+        several.alias("varied"),
     )
 
 
-def classifier(spark, sf):
-    """Fitted winner classifier, with what scoring needs to build the same features."""
+def encoding(spark, sf):
+    """Facts with vocabulary slots, and the encoder that training and scoring share."""
     fitted = bounds(spark, sf)
     games = t.game_log(spark, sf)
     seasons = games.agg(F.min("season"), F.max("season")).first()
@@ -162,56 +208,141 @@ def classifier(spark, sf):
     size = teams.count()
     facts = q.indexed_facts(t.facts(spark, sf), q.team_vocabulary(teams), size)
     encode = lambda rows: q.encoded(rows, fitted, (seasons[0], seasons[1]), 366, size)[0]
-    training = encode(q.sequence_games(games, facts=facts)).select("game_id", "label", "features")
-    return training, facts, encode
+    return facts, encode
 
 
-@query("m9_winner_classifier", sql(
-    f"select distinct game_id, label, true as scored from sequence where {_HELD_OUT}", "sequence"))
-def _(spark, sf):
-    """Held-out games of the sequence classifier, and whether each gets a probability."""
-    training, _, _ = classifier(spark, sf)
-    train, test = m.training_split(training, "game_id")
-    model = m.fit_winner_classifier(train.cache())
-    train.unpersist()
-    return m.lower_win_probability(model, test).select(
-        "game_id", "label", F.coalesce(F.col("p_lower").between(0, 1), F.lit(False)).alias("scored")
+def sequence_rows(spark, sf):
+    """(game_id, label, features, steps) of every game with full histories, written once: fits read it many times."""
+    def build():
+        facts, encode = encoding(spark, sf)
+        rows = q.ordered_steps(q.sequence_games(t.game_log(spark, sf), facts=facts), bounds(spark, sf))
+        return encode(rows).select("game_id", "label", "features", "steps")
+
+    return kept_table(spark, sf, "sequence_rows", build)
+
+
+def flat_model(spark, sf):
+    train = m.training_split(sequence_rows(spark, sf), "game_id")[0]
+    return kept_model(spark, sf, "flat", lambda: m.fit_winner_classifier(train.select("label", "features")))
+
+
+def sequence_model(spark, sf):
+    """The recurrent network, fitted on the 70 percent of the games."""
+    def build():
+        train = m.training_split(sequence_rows(spark, sf), "game_id")[0]
+        return recurrent.train(train, [recurrent.Network(q.HISTORY, 4 * len(STATS), (32,), ("tanh",))], rounds=40)[0]
+
+    return kept_model(spark, sf, "recurrent", build)
+
+
+_GAME_LABELS = f"(select distinct game_id, label, case when {_HELD_OUT} then 'test' else 'train' end as part from sequence)"
+_CONSTANT_LOSS_SQL = sql(
+    f"""select part, count(*) as games, round(avg(-ln(case when label = 1 then rate else 1 - rate end)), 6) as constant_log_loss,
+        case when part = 'train' then true end as beaten
+    from (select *, avg(label) filter (part = 'train') over () as rate from {_GAME_LABELS}) group by part""", "sequence")
+
+
+def classifier_error(scored):
+    """By part: games, the log loss of the training games' share of wins, and whether the model beats it on what it was
+    fitted to."""
+    known = scored.withColumn("part", F.when(hash_bucket(F.col("game_id"), 17) < 30, "test").otherwise("train"))
+    rate = F.lit(known.filter("part = 'train'").agg(F.avg("label")).first()[0])
+    loss = lambda p: F.avg(-F.log(F.when(F.col("label") == 1, p).otherwise(1 - p)))
+    errors = known.groupBy("part").agg(
+        F.count("p_lower").alias("games"), loss(rate).alias("constant"), loss(F.col("p_lower")).alias("log_loss")
+    )
+    return errors.select(
+        "part", "games", F.round("constant", 6).alias("constant_log_loss"),
+        F.when(F.col("part") == "train", F.col("log_loss") < F.col("constant")).alias("beaten"),
     )
 
 
-@query("m9_all_pairs_scores", sql(
-    f"""select concat_ws('_', p.season, n1.team_name, n2.team_name) as info, known as scored,
-        case when known then 1.0 end as total
-    from (select p.*, coalesce(a.n >= 5 and b.n >= 5, false) as known from pairs p
-        left join played a on a.season = p.season and a.team = p.team_1
-        left join played b on b.season = p.season and b.team = p.team_2) p
-    join teams n1 on n1.team_id = p.team_1 join teams n2 on n2.team_id = p.team_2""",
-    "pairs", "teams", "played", cutoff=SEQUENCE_DAY))
-def _(spark, sf):
-    """Every pairing, whether it gets a win probability, and the sum of both sides' probabilities.
-
-    A pair short of history has a null probability.
-    """
-    training, facts, encode = classifier(spark, sf)
-    model = m.fit_winner_classifier(training.cache())
-    training.unpersist()
-    pairs = q.sequence_pairs(field_pairs(spark, sf), facts, SEQUENCE_DAY)
-    ready = encode(pairs.filter("recent_1 is not null and recent_2 is not null"))
-    keys = ["league", "season", "team_1", "team_2"]
-    scored = m.lower_win_probability(model, ready).select(*keys, "p_lower")
+def held_out(scored):
+    return rounded(m.training_split(scored, "game_id")[1].select("game_id", "label", "p_lower"), ["p_lower"], 4)
+
+
+def flat_scores(spark, sf):
+    return m.lower_win_probability(flat_model(spark, sf), sequence_rows(spark, sf)).select("game_id", "label", "p_lower")
+
+
+def ordered_scores(spark, sf):
+    scored = recurrent.lower_wins(sequence_rows(spark, sf), [sequence_model(spark, sf)])
+    return scored.select("game_id", "label", F.col("p")[0].alias("p_lower"))
+
+
+@query("m9_winner_classifier")
+def _(spark, sf):
+    """Held-out games with the flat classifier's probability that the lower id wins."""
+    return held_out(flat_scores(spark, sf))
+
+
+@query("m9_classifier_error", _CONSTANT_LOSS_SQL)
+def _(spark, sf):
+    return classifier_error(flat_scores(spark, sf))
+
+
+@query("m9_sequence_model")
+def _(spark, sf):
+    """Held-out games with the recurrent network's probability that the lower id wins."""
+    return held_out(ordered_scores(spark, sf))
+
+
+@query("m9_sequence_error", _CONSTANT_LOSS_SQL)
+def _(spark, sf):
+    return classifier_error(ordered_scores(spark, sf))
+
+
+def scored_pairs(spark, sf):
+    """Every pairing of every field with the network's probability; null for a pair short of history."""
+    def build():
+        pairs = q.sequence_pairs(field_pairs(spark, sf), t.facts(spark, sf), SEQUENCE_DAY)
+        scored = recurrent.lower_wins(q.ordered_steps(pairs, bounds(spark, sf)), [sequence_model(spark, sf)])
+        return scored.select("league", "season", "team_1", "team_2", F.col("p")[0].alias("p_lower"))
+
+    return kept_table(spark, sf, "scored_pairs", build)
+
+
+@query("m9_all_pairs_scores")
+def _(spark, sf):
+    """Every pairing with both sides' probabilities, by name."""
     names = t.teams(spark, sf).select("team_id", "team_name")
-    full = pairs.select(*keys).join(scored, keys, "left")
-    named = full.join(names.toDF("team_1", "name_1"), "team_1").join(names.toDF("team_2", "name_2"), "team_2")
-    return submission_full(named).select(
-        "info", F.coalesce(F.col("prediction1").between(0, 1), F.lit(False)).alias("scored"),
-        F.round(F.col("prediction1") + F.col("prediction2"), 1).alias("total"),
+    named = scored_pairs(spark, sf).join(names.toDF("team_1", "name_1"), "team_1").join(names.toDF("team_2", "name_2"), "team_2")
+    return submission_full(named)
+
+
+@query("m9_all_pairs_coverage", sql(
+    """select p.league, p.season, count(*) as pairs, count(*) filter (a.n >= 5 and b.n >= 5) as scored,
+        count(*) filter (a.n >= 5 and b.n >= 5) > 100 as varied
+    from pairs p left join played a on a.season = p.season and a.team = p.team_1
+    left join played b on b.season = p.season and b.team = p.team_2 group by p.league, p.season""",
+    "pairs", "played", cutoff=SEQUENCE_DAY))
+def _(spark, sf):
+    """Pairings with a probability, by field; a field of some size has many different ones."""
+    several = (F.count("p_lower") > 100) & (F.count_distinct(F.round("p_lower", 4)) > 10)
+    return scored_pairs(spark, sf).groupBy("league", "season").agg(
+        F.count(F.lit(1)).alias("pairs"), F.count("p_lower").alias("scored"), several.alias("varied")
     )
 
 
+def generations(spark, sf):
+    """Three generations of 20 candidates, on networks of widths up to 32."""
+    def build():
+        train, test = m.training_split(sequence_rows(spark, sf).select("game_id", "label", "steps"), "game_id")
+        space = evolution.Space(layer_counts=(1, 2), widths=(4, 8, 16, 32))
+        return evolution.evolve(train, test, q.HISTORY, new_path(spark, "search"), generations=3, space=space, rounds=10)
+
+    return kept_table(spark, sf, "generations", build)
+
+
 @query("m10_search_leaderboard")
 def _(spark, sf):
-    """Candidates of the seeded search by hold-out accuracy."""
-    rows = q.stat_vector(sequences(spark, sf), bounds(spark, sf)).select("game_id", "label", F.col("stats").alias("features")).cache()
-    found = m.search(rows, "game_id", m.sample_candidates(4, 4 * len(STATS) * q.HISTORY, seed=1100), iterations=15)
-    rows.unpersist()
-    return m.leaderboard(found)
+    """The best candidates of the last generation by hold-out accuracy."""
+    found = generations(spark, sf)
+    last = found.agg(F.max("generation").alias("generation"))
+    return m.leaderboard(found.join(last, "generation").select("candidate", "generation", "score", "layers", "optimizer"))
+
+
+@query("m10_search_generations")
+def _(spark, sf):
+    """Every candidate of every generation with its parents and score."""
+    return generations(spark, sf)

@@ -87,8 +87,9 @@ def _(spark, sf):
 
 
 @query("p8_either_side", sql(
-    """select s.team_id, count(c.game_id) as games from teams s join contests c
-    on c.w_id = s.team_id or c.l_id = s.team_id group by s.team_id""", "teams", "contests"))
+    """select s.team_id, count(*) as games from teams s join (
+        select w_id as team_id, game_id from contests union select l_id, game_id from contests
+    ) c on c.team_id = s.team_id group by s.team_id""", "teams", "contests"))
 def _(spark, sf):
     games = t.facts(spark, sf, stats=(), opponent=False).select(F.col("team").alias("team_id"), "game_id")
     return games.groupBy("team_id").agg(F.count("game_id").alias("games")).join(

@@ -1,14 +1,13 @@
-"""Score regressions, the sequence classifier, and the search over its settings (Spark ML)."""
+"""Score regressions, the flat sequence classifier, and what models are measured by (Spark ML)."""
 
 from __future__ import annotations
 
-import random
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Model
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -18,7 +17,6 @@ from pyspark.sql import functions as F
 
 from courtline.operators.indexing import frequency_index, hash_split, with_index
 from courtline.plans.features import SIDE
-from courtline.schemas import CANDIDATE
 
 # The 28 features: season, day, then coach index, trailing statistics and rating of each side.
 FEATURES = ["season", "day_num"] + [
@@ -67,13 +65,16 @@ class ScoreModels:
             .repartition(parts, "game_id").sortWithinPartitions("game_id").persist()
         )
         try:
-            models = [
+            trees = [
                 GBTRegressor(
                     labelCol=label, featuresCol="features", stepSize=step, maxDepth=depth, maxIter=rounds,
                     lossType="squared", seed=seed, checkpointInterval=10,
-                ).fit(ready)
+                )
                 for label in ("w_score", "l_score")
             ]
+            fit = inheritable_thread_target(rows.sparkSession)(lambda t: t.fit(ready))
+            with ThreadPool(len(trees)) as pool:
+                models = pool.map(fit, trees)
         finally:
             ready.unpersist()
         return ScoreModels(codes, *models)
@@ -110,43 +111,6 @@ def lower_win_probability(model: Model, rows: DataFrame) -> DataFrame:
     return model.transform(rows).withColumn("p_lower", vector_to_array("probability")[1]).drop("rawPrediction")
 
 
-def sample_candidates(count: int, inputs: int, seed: int) -> list[tuple[list[int], str]]:
-    """Seeded settings: one to four hidden layers, and a solver."""
-    # Layer counts and layer widths of the search space.
-    layer_counts, widths = [1, 2, 3, 4], [4, 8, 16, 32, 64, 128, 256, 512]
-    rng = random.Random(seed)
-    return [
-        ([inputs, *[rng.choice(widths) for _ in range(rng.choice(layer_counts))], 2], rng.choice(["l-bfgs", "gd"]))
-        for _ in range(count)
-    ]
-
-
-def search(
-    rows: DataFrame, key: str, candidates: list[tuple[list[int], str]], iterations: int = 50, seed: int = 1100,
-    parallelism: int = 4,
-) -> DataFrame:
-    """Hold-out accuracy of each candidate: (candidate, generation, score, layers, solver).
-
-    Training and held-out rows are told apart by ``key`` (70/30), so scores do not hang on the partitioning.
-    """
-    train, test = training_split(rows, key)
-    train, test = train.persist(), test.persist()
-
-    def score(place: int) -> tuple:
-        layers, solver = candidates[place]
-        net = MultilayerPerceptronClassifier(
-            featuresCol="features", labelCol="label", maxIter=iterations, seed=seed, layers=layers, solver=solver
-        )
-        return place, 1, accuracy(net.fit(train).transform(test)), layers[1:-1], solver
-
-    try:
-        with ThreadPool(parallelism) as pool:
-            scored = pool.map(inheritable_thread_target(rows.sparkSession)(score), range(len(candidates)))
-    finally:
-        train.unpersist(), test.unpersist()
-    return rows.sparkSession.createDataFrame(scored, CANDIDATE)
-
-
 def leaderboard(candidates: DataFrame, k: int = 5) -> DataFrame:
     """Best ``k`` candidates, highest score first; scores that are no number come last."""
     usable = F.when(~F.isnan("score"), F.col("score"))

@@ -61,6 +61,13 @@ def stat_vector(sequences: DataFrame, bounds: Bounds) -> DataFrame:
     )
 
 
+def ordered_steps(sequences: DataFrame, bounds: Bounds) -> DataFrame:
+    """``steps``: the scaled counts of both teams and their opponents, step by step, the oldest game first."""
+    counts = [scaled_sql(f"{game}.{prefix}{s}", *bounds[s]) for game in "ab" for prefix in ("", "opp_") for s in STATS]
+    each = f"zip_with(recent_1, recent_2, (a, b) -> array({', '.join(counts)}))"
+    return sequences.withColumn("steps", F.expr(f"flatten(reverse({each}))"))
+
+
 def team_vocabulary(teams: DataFrame) -> DataFrame:
     return dense_index(teams.select("team_id").distinct(), [F.col("team_id")])
 

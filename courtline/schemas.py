@@ -65,6 +65,18 @@ CANDIDATE = T.StructType(
     ]
 )
 
+INDIVIDUAL = T.StructType(
+    [
+        T.StructField("candidate", T.LongType()),
+        T.StructField("generation", T.IntegerType()),
+        T.StructField("parents", T.ArrayType(T.LongType())),
+        T.StructField("layers", T.ArrayType(T.IntegerType())),
+        T.StructField("activations", T.ArrayType(T.StringType())),
+        T.StructField("optimizer", T.StringType()),
+        T.StructField("score", T.DoubleType()),
+    ]
+)
+
 SUBMISSION = T.StructType([T.StructField("id", T.StringType()), T.StructField("pred", T.DoubleType())])
 SUBMISSION_FULL = T.StructType(
     [

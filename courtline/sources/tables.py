@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from courtline.operators.games import team_games
 from courtline.operators.ingest import CELL_CLASSES
-from courtline.operators.matchups import bracketed_field
+from courtline.operators.matchups import seeded_field
 from courtline.schemas import GAME_LOG
 from courtline.storage import kept_table
 
@@ -102,8 +102,8 @@ def teams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seeds table (league, season, bracket, team, wins, seed): every team of the log, by its wins."""
-    return bracketed_field(facts(spark, sf_dir, stats=(), opponent=False))
+    """Seeds table (league, season, team, wins, seed): the tournament field of every league and season, kept."""
+    return kept_table(spark, sf_dir, "seeds", lambda: seeded_field(facts(spark, sf_dir, stats=(), opponent=False)))
 
 
 def tenures(spark: SparkSession, sf_dir: str) -> DataFrame:

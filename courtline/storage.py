@@ -56,3 +56,14 @@ def kept_table(
         _tables[key] = (path, spark.read.parquet(path))
     path, kept = _tables[key]
     return kept if kept.sparkSession is spark else spark.read.parquet(path)
+
+
+_models: dict[tuple[str, str, str], object] = {}
+
+
+def kept_model(spark: SparkSession, scope: str, name: str, build: Callable[[], object]) -> object:
+    """Fit ``build()`` once per application and scope; later calls get the same model."""
+    key = (spark.sparkContext.applicationId, scope, name)
+    if key not in _models:
+        _models[key] = build()
+    return _models[key]

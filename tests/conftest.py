@@ -10,8 +10,9 @@ from courtline.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("tests", master="local[8]", **{
-        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g",
+    # Four tasks, so four Python workers at most beside a heap of 5 GB: fits a machine of 16 GB.
+    session = build_session("tests", master="local[4]", **{
+        "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "5g",
         "spark.ui.showConsoleProgress": "false",
     })
     session.sparkContext.setLogLevel("ERROR")

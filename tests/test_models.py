@@ -109,20 +109,3 @@ def test_score_models_are_seeded_and_leave_gaps_null(spark):
 def test_leaderboard_puts_nan_last(spark):
     df = spark.createDataFrame([(1, float("nan")), (2, 0.4), (3, 0.9), (4, None)], "candidate int, score double")
     assert [r.candidate for r in m.leaderboard(df, 2).collect()] == [3, 2]
-
-
-def test_candidates_are_seeded():
-    assert m.sample_candidates(5, 10, 1) == m.sample_candidates(5, 10, 1) != m.sample_candidates(5, 10, 2)
-    assert all(layers[0] == 10 and layers[-1] == 2 and 3 <= len(layers) <= 6 for layers, _ in m.sample_candidates(30, 10, 3))
-
-
-def test_search_does_not_hang_on_partitioning(spark):
-    rows = spark.range(0, 300).selectExpr("id", "cast(id % 3 = 0 as int) as label", "array(cast(id % 3 as double), 1D) as a")
-    from pyspark.ml.functions import array_to_vector
-
-    rows = rows.select("id", "label", array_to_vector("a").alias("features"))
-    found = m.search(rows, "id", [([2, 4, 2], "l-bfgs"), ([2, 8, 2], "l-bfgs")], iterations=20)
-    assert [r.candidate for r in found.collect()] == [0, 1]
-    assert all(0.0 <= r.score <= 1.0 for r in found.collect())
-    held = m.training_split(rows.repartition(7), "id")[1]
-    assert held.exceptAll(m.training_split(rows, "id")[1]).count() == 0

@@ -47,6 +47,6 @@ def test_per_group_limits_apply_before_the_shuffle(log, build):
 
 
 def test_pairings_join_on_the_field(log):
-    text = plan(pairings(seeded_field(log)))
+    text = plan(pairings(seeded_field(team_games(log, stats=()))))
     assert "NestedLoop" not in text and "Cartesian" not in text
     assert re.search(r"(HashJoin|SortMergeJoin) \[league", text)
