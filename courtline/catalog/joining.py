@@ -8,13 +8,14 @@ from courtline.catalog.ctes import sql
 from courtline.catalog.registry import CUTOFF_DAY, FEATURE_DAY, query, rating_history, trailing_table
 from courtline.catalog.shaping import ROLLING_SQL, field_pairs, rounded
 from courtline.functions.text import path_segment
+from courtline.operators.asof import asof_join
 from courtline.operators.games import team_games
 from courtline.operators.history import recent_games, steps, with_both_histories
 from courtline.operators.ingest import pending
 from courtline.operators.lookups import both_names, coach_on_day, latest, side_of_day, team_ids
 from courtline.operators.matching import match_names, review_candidates
 from courtline.operators.matchups import orientations
-from courtline.operators.ratings import rating_before
+from courtline.operators.ratings import rating_before, two_sided
 from courtline.plans.features import latest_trailing, past_features, side_columns, upcoming_features
 from courtline.plans.models import merge_scores
 from courtline.plans.sequences import HISTORY, sequence_games
@@ -106,6 +107,41 @@ def _(spark, sf):
     return rounded(latest(trailing_table(spark, sf), ["season", "team"], "day_num", before=CUTOFF_DAY), TRAILING)
 
 
+_ASOF_SQL = {
+    "elo": """asof left join (select league, season, team, day_num, max(elo) as elo from team_ratings group by all) e
+        on e.league = f.league and e.season = f.season and e.team = f.team and f.day_num > e.day_num""",
+    "trailing": """asof left join (select * from rolling where outcome = 'W' or (season, team, day_num) not in
+            (select season, team, day_num from rolling where outcome = 'W')) s
+        on s.season = f.season and s.team = f.team and f.day_num > s.day_num""",
+    "coach": "asof left join tenures t on t.season = f.season and t.team = f.team and f.day_num > t.first_day",
+}
+
+
+@query("j7_asof_rating", sql(
+    f"""select f.game_id, f.league, f.season, f.day_num, f.team, e.day_num as elo_day, round(e.elo, 3) as elo
+    from facts f {_ASOF_SQL['elo']}""", "facts", "team_ratings"))
+def _(spark, sf):
+    """Both sides of every game with the rating they took into their latest game of an earlier day."""
+    sides = t.facts(spark, sf, stats=(), opponent=False).select("game_id", "league", "season", "day_num", "team")
+    known = two_sided(rating_history(spark, sf)).withColumn("elo_day", F.col("day_num"))
+    found = asof_join(sides, known, ["league", "season", "team"], "day_num", "elo_day", {"elo_day": "elo_day", "elo": "elo"}, width=64)
+    return rounded(found, ["elo"], 3)
+
+
+@query("j8_asof_features", sql(
+    f"""select f.game_id, f.season, f.day_num, f.team, t.coach, round(e.elo, 3) as elo,
+        {', '.join(f'round(s.{c}, 6) as {c}' for c in TRAILING)}
+    from facts f {_ASOF_SQL['elo']} {_ASOF_SQL['trailing']} {_ASOF_SQL['coach']}""", "facts", "team_ratings", "rolling", "tenures"))
+def _(spark, sf):
+    """Both sides of every game with rating, statistics and coach as known before its own day."""
+    sides = t.facts(spark, sf, stats=(), opponent=False).select("game_id", "league", "season", "day_num", "team")
+    out = asof_join(sides, two_sided(rating_history(spark, sf)), ["league", "season", "team"], "day_num", "day_num", {"elo": "elo"}, width=64)
+    team = ["season", "team"]
+    out = asof_join(out, trailing_table(spark, sf), team, "day_num", "day_num", {c: c for c in TRAILING}, width=64)
+    out = asof_join(out, t.tenures(spark, sf), team, "day_num", "first_day", {"coach": "coach"})
+    return rounded(rounded(out.select("game_id", "season", "day_num", "team", "coach", "elo", *TRAILING), TRAILING), ["elo"], 3)
+
+
 UPCOMING_ROW_SQL = f"""select p.league, p.season, {FEATURE_DAY} as day_num, p.orientation, p.w_id, wn.team_name as w_name, p.l_id,
         ln.team_name as l_name, 'N' as w_loc, 0 as w_score, 0 as l_score, wc.coach as w_coach, lc.coach as l_coach,
         round(we.elo, 3) as w_elo, round(le.elo, 3) as l_elo, {_TRAILING_SQL}

@@ -4,28 +4,40 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from courtline.functions.text import longest_token
 
 
-def containing(keys: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Pairs (key, candidate) where the candidate contains the key, as an equi-join.
+# Characters of the pieces that names are indexed by.
+GRAM = 3
 
-    Candidates are cut into their substrings of exactly the lengths that occur among the keys, so
-    every joined row is a true match and nothing is compared pairwise.
+
+def _grams(text: str, size: Column) -> Column:
+    """The distinct pieces of ``size`` characters of a column."""
+    starts = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - size + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(F.col(text), i, size)))
+
+
+def containing(keys: DataFrame, candidates: DataFrame, gram: int = GRAM) -> DataFrame:
+    """Pairs (key, candidate) where the candidate contains the key, by an inverted index.
+
+    Each candidate is posted, by a number, under its distinct pieces of ``gram`` characters (shorter ones where a key is
+    shorter). A key looks up only its rarest piece, and the candidates found there are read and compared with the whole
+    key, so what is shuffled grows with the total length of the names. Null and empty keys match nothing.
     """
-    lengths = keys.select(F.collect_set(F.length("key"))).scalar()
-    starts = lambda n: F.sequence(F.lit(1), F.length("candidate") - n + 1)
-    pieces = F.flatten(
-        F.transform(
-            F.filter("lengths", lambda n: (n > 0) & (n <= F.length("candidate"))),
-            lambda n: F.transform(starts(n), lambda i: F.substring("candidate", i, n)),
-        )
-    )
-    cut = candidates.withColumn("lengths", lengths).select("candidate", F.explode(F.array_distinct(pieces)).alias("key"))
-    return keys.select("key").distinct().join(cut, "key")
+    looked_up = keys.select("key").where("key <> ''").distinct().withColumn("size", F.least(F.length("key"), F.lit(gram)))
+    sizes = F.lit(looked_up.select(F.collect_set("size")).first()[0]).cast("array<int>")  # at most ``gram`` numbers
+    numbered = candidates.select("candidate").where("candidate is not null").withColumn("number", F.xxhash64("candidate"))
+    pieces = F.flatten(F.transform(sizes, lambda n: _grams("candidate", n)))
+    postings = numbered.distinct().select("number", F.explode(pieces).alias("piece"))
+    known = postings.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    # A key with a piece that no candidate has is contained in none; the lookup by its rarest piece leaves it out.
+    own = looked_up.select("key", F.explode(_grams("key", F.col("size"))).alias("piece")).join(known, "piece", "left")
+    rarest = own.groupBy("key").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("least"))
+    found = rarest.select("key", F.col("least.piece").alias("piece")).join(postings, "piece").select("key", "number")
+    return found.join(numbered, "number").where(F.col("candidate").contains(F.col("key"))).select("key", "candidate")
 
 
 def _per_key(pairs: DataFrame) -> DataFrame:

@@ -53,7 +53,7 @@ def _inputs(games: DataFrame, rules: EloRules, roster: DataFrame | None = None)
     )
 
 
-def _two_sided(history: DataFrame) -> DataFrame:
+def two_sided(history: DataFrame) -> DataFrame:
     """One row per team and rated game: rating at the start of the day, and the points won or lost."""
     sides = F.array(
         F.struct(F.col("w_id").alias("team"), F.col("w_elo").alias("elo"), F.col("update").alias("delta")),
@@ -91,7 +91,7 @@ def unrated(rated: DataFrame) -> DataFrame:
 
 def apply_updates(ratings: DataFrame, rated: DataFrame) -> DataFrame:
     """Ratings after the given rated games."""
-    moved = _two_sided(rated).groupBy("league", "team").agg(F.sum("delta").alias("delta"))
+    moved = two_sided(rated).groupBy("league", "team").agg(F.sum("delta").alias("delta"))
     return ratings.join(moved, ["league", "team"], "left").select(
         "league", "team", (F.col("rating") + F.coalesce("delta", F.lit(0.0))).alias("rating")
     )
@@ -193,7 +193,7 @@ def step_through_days(
     calendar = [(r[0], r[1]) for r in log.select("season", "day_num").distinct().orderBy("season", "day_num").collect()]
     if not calendar:
         return spark.createDataFrame([], RATING_HISTORY)
-    roster = _two_sided(
+    roster = two_sided(
         log.select("league", "season", "day_num", "w_id", "l_id", *[F.lit(0.0).alias(c) for c in ("w_elo", "l_elo", "update")])
     ).select("league", "team").distinct()
 
@@ -204,7 +204,7 @@ def step_through_days(
     def now(base: DataFrame, since: list[str]) -> DataFrame:
         if not since:
             return base
-        moved = _two_sided(spark.read.schema(RATING_HISTORY).parquet(*since)).select(
+        moved = two_sided(spark.read.schema(RATING_HISTORY).parquet(*since)).select(
             "league", "team", F.col("delta").alias("rating")
         )
         return base.unionByName(moved).groupBy("league", "team").agg(F.sum("rating").alias("rating"))
@@ -280,7 +280,7 @@ def season_snapshots(history: DataFrame, opening: DataFrame | None = None, rules
     their teams on the roster even when they no longer play.
     """
     day_ends = (
-        _two_sided(history)
+        two_sided(history)
         .groupBy("league", "season", "day_num", "team")
         .agg((F.max("elo") + F.sum("delta")).alias("rating"))
     )
@@ -323,7 +323,7 @@ def mean_log_loss(history: DataFrame) -> DataFrame:
 def rating_before(history: DataFrame, cutoff_day: int) -> DataFrame:
     """Rating a team took into its latest game before ``cutoff_day``, per pool and season."""
     return (
-        _two_sided(history)
+        two_sided(history)
         .filter(F.col("day_num") < cutoff_day)
         .groupBy("league", "season", "team")
         .agg(F.max_by("elo", "day_num").alias("elo"), F.max("day_num").alias("elo_day"))

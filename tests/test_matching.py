@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from courtline.operators.matching import containing, match_names, review_candidates
 
 
@@ -60,3 +62,16 @@ def test_containing_is_literal_and_whole(spark):
     right = spark.createDataFrame([("axb",), ("a.b",), (long,)], "candidate string")
     got = {(r.key, r.candidate) for r in containing(keys, right).collect()}
     assert got == {("a.b", "a.b"), ("b", "axb"), ("b", "a.b"), ("x" * 50, long)}
+
+
+@pytest.mark.parametrize("gram", [1, 3, 8])
+def test_index_finds_all_that_contain_a_key(spark, gram):
+    rng = random.Random(gram)
+    word = lambda n: "".join(rng.choice("abé \U0001f600%_(") for _ in range(rng.randint(0, n)))
+    keys = [*(word(5) for _ in range(80)), None, "", "zzz"]
+    candidates = [*{word(14) for _ in range(120)}, None]
+    got = containing(
+        spark.createDataFrame([(k,) for k in keys], "key string"),
+        spark.createDataFrame([(c,) for c in candidates], "candidate string"), gram,
+    )
+    assert sorted(map(tuple, got.collect())) == sorted({(k, c) for k in keys for c in candidates if k and c and k in c})

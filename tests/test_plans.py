@@ -10,14 +10,7 @@ from courtline.operators.lookups import latest
 from courtline.operators.matchups import pairings, seeded_field
 from courtline.operators.rolling import trailing_stats
 from courtline.sources import tables
-
-
-def plan(df):
-    return df._jdf.queryExecution().executedPlan().toString()
-
-
-def exchanges(text):
-    return re.findall(r"Exchange hashpartitioning\(([^)]*?), \d+\)", text)
+from tests_plan import exchanges, plan
 
 
 @pytest.fixture(scope="module")
