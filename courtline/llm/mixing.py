@@ -129,7 +129,7 @@ def copies(
     within = F.row_number().over(Window.partitionBy(own).orderBy("key", "doc_id"))
     ranked = dealt.withColumn("rank", within).join(parts, own).join(cell, ["place", "size"])
     ranked = written(ranked.select(
-        "doc_id", "key", "place", "size", "source_size", "target", "rate",
+        "doc_id", "key", "rank", "place", "size", "source_size", "target", "rate",
         (F.col("ahead") + (F.col("skip") + F.col("rank")) * F.col("rate")).alias("upto"),
     ), "ranked")
 
@@ -145,15 +145,16 @@ def copies(
         F.struct(F.abs(F.col(f"p{k}") - F.col("target")).alias("off"), F.lit(p).alias("phase")) for k, p in enumerate(phases)
     ]))
     rounded = ranked.join(sums.select("place", best["phase"].alias("phase")), "place").select(
-        "doc_id", "key", "place", "size", "source_size", "target", taken(F.col("phase")).cast("long").alias("copies")
+        "doc_id", "key", "rank", "place", "size", "source_size", "target", taken(F.col("phase")).cast("long").alias("copies")
     )
-    return _settled(rounded, most).drop("place")
+    return _settled(rounded, most).drop("place", "rank")
 
 
 def _settled(rows: DataFrame, most: int) -> DataFrame:
     """Take one copy more or less, in each round, of the document of a source that closes most of what is still off.
 
-    Matters for small sources, whose single documents weigh much.
+    Matters for small sources, whose single documents weigh much. Equal rows are told apart by their rank, so one row
+    moves, whatever repeats it.
     """
     for _ in range(SETTLING):
         rows = written(rows, "rounded")
@@ -163,9 +164,9 @@ def _settled(rows: DataFrame, most: int) -> DataFrame:
         fits = (F.col("size") > 0) & (F.col("copies") + step).between(0, most)
         gain = F.abs(F.abs("off") - F.col("size"))
         best = rows.join(left, "place").where(fits & (gain < F.abs("off"))).groupBy("place").agg(
-            F.min(F.struct(gain.alias("gain"), F.col("key"), step.alias("step"))).alias("best")
-        ).select("place", F.col("best.key").alias("chosen"), "best.step")
-        moved = F.when(F.col("key") == F.col("chosen"), F.col("step")).otherwise(0)
+            F.min(F.struct(gain.alias("gain"), F.struct("key", "rank").alias("row"), step.alias("step"))).alias("best")
+        ).select("place", F.col("best.row").alias("chosen"), "best.step")
+        moved = F.when(F.struct("key", "rank") == F.col("chosen"), F.col("step")).otherwise(0)
         rows = rows.join(best, "place", "left").withColumn("copies", F.col("copies") + F.coalesce(moved, F.lit(0))).drop(
             "chosen", "step"
         )

@@ -235,13 +235,16 @@ def fingerprint_links(codes: DataFrame, distance: int = MAX_BITS, bucket_limit:
 
 
 def fingerprint_groups(prints: DataFrame, distance: int = MAX_BITS, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
-    """(code, component_id) from rows of (doc_id, code): the smallest doc_id over all codes reachable by links."""
+    """(code, component_id, root) from rows of (doc_id, code): the smallest doc_id over all codes reachable by links, and
+    the smallest of these codes."""
     codes = written(prints.groupBy("code").agg(F.min("doc_id").alias("first")), "codes")
     links = fingerprint_links(codes, distance, bucket_limit)
     linked = written(components(links, "a", "b").withColumnRenamed("node", "code"), "linked")
     least = linked.join(codes, "code").groupBy("component").agg(F.min("first").alias("least"))
-    groups = linked.join(least, "component").select("code", "least")
-    return codes.join(groups, "code", "left").select("code", F.coalesce("least", "first").alias("component_id"))
+    groups = linked.join(least, "component").select("code", "least", "component")
+    return codes.join(groups, "code", "left").select(
+        "code", F.coalesce("least", "first").alias("component_id"), F.coalesce("component", "code").alias("root")
+    )
 
 
 def near_duplicates(
@@ -265,12 +268,21 @@ def keep_one(
 ) -> DataFrame:
     """The documents whose id is their component's smallest, with their own columns.
 
-    Of rows that repeat an id one stays, with the smallest text. Rows without an id cannot be named by a decision
-    and stay, one for each text.
+    Rows are judged by their id and text: of rows that repeat an id those stay whose own text begins a component, and of
+    several in one component the one with the smallest text. Rows without an id cannot be named by a decision and stay,
+    one for each text. Null and empty texts are judged like any other. An empty table gives no rows.
     """
-    found = near_duplicates(docs, shingle, distance, bucket_limit)
-    rest = written(found.where("doc_id <> component_id").select("doc_id").distinct(), "repeats")
-    kept = docs.join(rest, "doc_id", "left_anti")
-    place, key = unused(docs, "_place"), F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
-    order = Window.partitionBy("doc_id", key).orderBy("text")
+    bound_batches(docs)
+    text_hash = F.xxhash64(F.col("text").cast("string"))
+    prints = written(docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), text_hash.alias("text_hash"), fingerprint(F.col("text"), shingle).alias("code"),
+    ).distinct(), "prints")
+    groups = fingerprint_groups(prints.select("doc_id", "code"), distance, bucket_limit)
+    first = prints.join(groups, "code").where("doc_id = component_id")
+    id_, hash_, root, place = (unused(docs, c) for c in ("_doc", "_hash", "_root", "_place"))
+    first = written(first.select("doc_id", "text_hash", "root"), "firsts").toDF(id_, hash_, root)
+    named = docs.join(first, (F.col("doc_id").cast("long") == F.col(id_)) & (text_hash == F.col(hash_)))
+    nameless = docs.where(F.col("doc_id").isNull()).withColumn(root, text_hash)
+    kept = named.drop(id_, hash_).unionByName(nameless)
+    order = Window.partitionBy("doc_id", root).orderBy("text")
     return kept.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).select(*own_columns(docs))

@@ -109,3 +109,14 @@ def test_embeddings_in_many_blocks(spark, monkeypatch):
 
 def test_embeddings_empty(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
+
+
+def test_texts_that_share_an_id_are_judged_each(make):
+    words = lambda seed: " ".join(f"w{(seed * 7919 + k * 104729) % 99991}" for k in range(120))
+    copy, one, two = words(1), words(2), words(3)
+    docs = make([(1, copy), (2, copy), (2, one), (2, two), (2, two), (3, one), (None, copy), (None, copy), (4, None), (5, "")])
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(
+        [(1, copy), (2, one), (2, two), (None, copy), (4, None)], key=str
+    )

@@ -4,6 +4,7 @@ import collections
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from courtline.llm import licenses, mixing, urls
 from check import compare, connect
@@ -163,3 +164,12 @@ def test_mix_order_of_sources_and_hot_cell(make):
     for name, target in zip(["Z", "a", "b", "é", None], wanted, strict=True):
         assert got[name][0].target == pytest.approx(target)
         assert abs(sum(r.taken for r in got[name]) - target) <= 4
+
+
+def test_equal_rows_do_not_move_together(make):
+    """One row that is repeated often must not be taken or left as a whole where single copies close the gap."""
+    rows = [(100 * s + k, " ".join(["w"] * (7 + 13 * k + s)), "en", f"s{s:02}") for s in range(12) for k in range(6)]
+    rows += [(100 * s + 50, "two words", "en", f"s{s:02}") for s in range(12) for _ in range(60)]
+    found = mixing.mix(make(rows)).join(make(rows).select("doc_id", "source").distinct(), "doc_id")
+    for r in found.groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect():
+        assert abs(r.taken - r.target) <= 4
