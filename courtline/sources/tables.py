@@ -212,16 +212,16 @@ def box_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def box_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The scraped cells as stored box-score pages (game_id, html)."""
+    """The scraped cells as stored box-score pages (game_id, html): nested cells, either quote, comments, open tags."""
     cells = box_cells(spark, sf_dir)
 
     def block(side: str):
-        link = F.coalesce(F.concat(F.lit('<a class="team-name" href="'), F.col(f"{side}_href"), F.lit('">team</a>')), F.lit("unlinked"))
-        score = F.coalesce(F.concat(F.lit('<div class="score">'), F.col(f"{side}_score"), F.lit("</div>")), F.lit(""))
+        link = F.coalesce(F.concat(F.lit('<a href="'), F.col(f"{side}_href"), F.lit("\" class='team-name x'><b>te</b>am</a>")), F.lit("unlinked"))
+        score = F.coalesce(F.concat(F.lit('<div class="score"><!-- <b>0</b> --><b> '), F.col(f"{side}_score"), F.lit("</b>\n</div>")), F.lit(""))
         return F.concat(F.lit(f'<section><div class="team {side}">'), link, score, F.lit("</div></section>"))
 
     def totals(side: str):
-        one = [F.concat(F.lit(f'<td class="{label}">'), F.col(f"{side}_{c}"), F.lit("</td>")) for c, label in CELL_CLASSES.items()]
+        one = [F.concat(F.lit(f"<td class={label}><span title='a > b'>"), F.regexp_replace(f"{side}_{c}", "-", "<i>&#45;</i>"), F.lit("</span>")) for c, label in CELL_CLASSES.items()]
         return F.concat(
             F.lit('<div class="sub-module"><table><tr><td class="fg">0-0</td></tr>\n<tr class="highlight">'), *one, F.lit("</tr></table></div>")
         )
