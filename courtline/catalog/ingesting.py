@@ -8,7 +8,6 @@ from courtline.catalog.ctes import sql
 from courtline.catalog.registry import query
 from courtline.functions import text
 from courtline.operators import ingest
-from courtline.schemas import LEDGER
 from courtline.sources import tables as t
 from courtline.storage import new_path
 
@@ -148,20 +147,20 @@ def _(spark, sf):
 
 
 def _ingested(spark, sf):
-    """One ingest on top of a ledger with earlier runs in it."""
-    results, ledger = new_path(spark, "ingest_results"), new_path(spark, "ingest_ledger")
-    t.game_ledger(spark, sf).select(*LEDGER.fieldNames()).write.parquet(ledger)
-    ingest.run_ingest(spark, t.box_cells(spark, sf), results, ledger)
-    return results, ledger
+    """One ingest on top of a ledger with earlier runs in it; results and statuses are committed together."""
+    store = ingest.game_store(spark, new_path(spark, "games"))
+    store.commit({"ledger": t.game_ledger(spark, sf)})
+    ingest.ingest_into(store, t.box_cells(spark, sf))
+    return store
 
 
 @query("s9_ingest_results", sql("select * from typed where game_id not in (select game_id from ledger)", "typed", "ledger"))
 def _(spark, sf):
-    return ingest.read_results(spark, _ingested(spark, sf)[0])
+    return _ingested(spark, sf).read("results")
 
 
 @query("s9_ingest_ledger", sql(
     """select game_id, status from ledger union
     select game_id, status from checked where game_id not in (select game_id from ledger)""", "ledger", "checked"))
 def _(spark, sf):
-    return ingest.read_ledger(spark, _ingested(spark, sf)[1])
+    return _ingested(spark, sf).read("ledger")

@@ -27,6 +27,35 @@ def _(spark, sf):
     return files.read_csv(spark, path, GAME_LOG)
 
 
+@query("s1_csv_inferred", sql("select * from contests", "contests"))
+def _(spark, sf):
+    """The log written as CSV and read back without a schema; whole numbers come as the widest type."""
+    path = new_path(spark, "log_csv")
+    files.write_csv(t.game_log(spark, sf), path)
+    typed = files.read_csv_inferred(spark, path)[0]
+    return typed.select(*[F.col(f.name).cast(f.dataType) for f in GAME_LOG.fields])
+
+
+_SNIFFED = ("region", "nation", "supplier", "customer", "part", "orders")
+
+
+@query("s1_inferred_types", " union all ".join(
+    f"""select '{name}' as table_name, column_name, case when column_type in ('BIGINT', 'INTEGER', 'SMALLINT', 'TINYINT', 'HUGEINT') then 'bigint'
+        when column_type in ('DOUBLE', 'FLOAT') or starts_with(column_type, 'DECIMAL') then 'double'
+        when column_type = 'DATE' then 'date' when starts_with(column_type, 'TIMESTAMP') then 'timestamp'
+        when column_type = 'BOOLEAN' then 'boolean' else 'string' end as kind
+    from (describe select * from {name})""" for name in _SNIFFED))
+def _(spark, sf):
+    """Types found in the texts of whole tables are those the tables have."""
+    found = []
+    for name in _SNIFFED:
+        path = new_path(spark, name)
+        files.write_csv(t.table(spark, sf, name), path)
+        kinds = files.inferred_types(spark.read.option("header", True).csv(path))
+        found += [(name, c, k) for c, k in kinds.items()]
+    return spark.createDataFrame(found, "table_name string, column_name string, kind string")
+
+
 @query("s2_orc_scan", sql(f"select {ROLLING_SQL} from rolling", "rolling"))
 def _(spark, sf):
     path = new_path(spark, "stats_orc")

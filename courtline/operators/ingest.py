@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from courtline.functions.text import day_number, made_and_attempted, overtimes, path_segment, title_date
+from courtline.operators.commits import Store
 from courtline.operators.pages import first, select, text_of, with_elements
-from courtline.schemas import LEDGER, STATS
+from courtline.schemas import GAME_LOG, LEDGER, STATS
 from courtline.storage import cut_lineage
 
 # Classes of a stored box-score page. Each side has a block with its link and score, and a section with its
@@ -208,6 +212,27 @@ def run_ingest(
     statuses.write.mode("append").parquet(ledger_path)
 
 
+def game_store(spark: SparkSession, path: str) -> Store:
+    """Results and ledger as tables that change together."""
+    results = StructType([f for f in GAME_LOG.fields if f.name != "league"])
+    return Store(spark, path, "game_id", {"results": results, "ledger": LEDGER})
+
+
+def ingest_into(
+    store: Store, cells: DataFrame, retry: tuple[str, ...] = (), season: int | None = None, start: str | None = None,
+    teams: DataFrame | None = None, before_log: Callable[[], None] = lambda: None,
+) -> int:
+    """Rate the pages the ledger does not hold, or holds with a status in ``retry``, and commit games and statuses at once.
+
+    Returns the version of the store; without new pages it stays. A game scraped twice counts once.
+    """
+    batch = cut_lineage(_one_per_game(pending(cells, store.read("ledger"), retry=retry)))
+    if batch.isEmpty():
+        return store.version()
+    games, statuses = process(batch, season, start, teams)
+    return store.commit({"results": games, "ledger": statuses}, before_log)
+
+
 def read_results(spark: SparkSession, results_path: str) -> DataFrame:
     """One row per game."""
     return _one_per_game(spark.read.parquet(results_path))

@@ -4,15 +4,15 @@
 
 from courtline.operators import ingest
 from courtline.schemas import LEDGER
-from courtline.sources import tables
 from courtline.storage import new_path
 from courtline.streaming.box_scores import accepted_games, ingest_available
+from tests_plan import stored_cells
 
 
 def test_second_run_adds_nothing(spark, small):
     results, ledger = new_path(spark, "results"), new_path(spark, "ledger")
     spark.createDataFrame([], LEDGER).write.parquet(ledger)
-    cells = tables.box_cells(spark, small)
+    cells = stored_cells(spark, small)
     ingest.run_ingest(spark, cells, results, ledger)
     first = (ingest.read_results(spark, results).count(), ingest.read_ledger(spark, ledger).count())
     ingest.run_ingest(spark, cells, results, ledger)
@@ -24,7 +24,7 @@ def test_second_run_adds_nothing(spark, small):
 def test_crash_between_the_appends_is_harmless(spark, small):
     results, ledger = new_path(spark, "results"), new_path(spark, "ledger")
     spark.createDataFrame([], LEDGER).write.parquet(ledger)
-    cells = tables.box_cells(spark, small)
+    cells = stored_cells(spark, small)
     ingest.process(cells)[0].write.mode("append").parquet(results)
     expected = spark.read.parquet(results).count()
     ingest.run_ingest(spark, cells, results, ledger)
@@ -33,7 +33,7 @@ def test_crash_between_the_appends_is_harmless(spark, small):
 
 
 def test_retryable_statuses(spark, small):
-    cells = tables.box_cells(spark, small)
+    cells = stored_cells(spark, small)
     ledger = ingest.page_status(cells).select("game_id", "status")
     assert ingest.pending(cells, ledger).count() == 0
     again = ingest.pending(cells, ledger, retry=("DashesSkipped",))
@@ -47,7 +47,7 @@ def test_a_tie_is_an_away_win(spark):
 
 
 def test_broken_cells_make_no_game(spark, small):
-    cells = tables.box_cells(spark, small)
+    cells = stored_cells(spark, small)
     games, statuses = ingest.process(cells)
     assert games.filter("w_id is null or l_id is null or w_id = l_id or w_score is null or l_score is null").count() == 0
     seen = {r.status for r in statuses.select("status").distinct().collect()}
@@ -64,7 +64,7 @@ def test_a_retried_game_has_one_status(spark):
 
 
 def test_stream_reads_each_file_once(spark, small):
-    cells = tables.box_cells(spark, small)
+    cells = stored_cells(spark, small)
     folder, out, state = (new_path(spark, n) for n in ("incoming", "accepted", "state"))
     ledger = spark.createDataFrame([], LEDGER)
     cells.filter("game_id % 2 = 0").coalesce(1).write.parquet(folder)
