@@ -12,7 +12,7 @@ from courtline.operators.asof import asof_join
 from courtline.operators.games import team_games
 from courtline.operators.history import recent_games, steps, with_both_histories
 from courtline.operators.ingest import pending
-from courtline.operators.lookups import both_names, coach_on_day, latest, side_of_day, team_ids
+from courtline.operators.lookups import both_names, coach_on_day, covering, latest, side_of_day, team_ids
 from courtline.operators.matching import match_names, review_candidates
 from courtline.operators.matchups import orientations
 from courtline.operators.ratings import rating_before, two_sided
@@ -53,6 +53,25 @@ def _(spark, sf):
     return games.join(t.venues(spark, sf), ["season", "day_num", "w_id", "l_id"], "left").select("game_id", "cr_type", "city_id")
 
 
+@query("j4_open_lines", """
+    with lines as (select l.l_suppkey as supplier, l.l_quantity as quantity, date_diff('day', date '1970-01-01', o.o_orderdate::date) as first_day,
+        date_diff('day', date '1970-01-01', l.l_shipdate::date) as last_day from lineitem l join orders o on o.o_orderkey = l.l_orderkey),
+    days as (select distinct supplier, last_day as day from lines)
+    select d.supplier, d.day, count(n.quantity) as n_open, sum(n.quantity) as quantity from days d left join lines n
+    on n.supplier = d.supplier and d.day between n.first_day and n.last_day group by d.supplier, d.day""")
+def _(spark, sf):
+    """Lines that are ordered and not yet gone on each day a supplier ships: thousands of long intervals a key."""
+    orders = t.table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
+    number = lambda c: F.datediff(F.col(c), F.lit("1970-01-01"))
+    lines = t.table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity", "l_shipdate").join(orders, "l_orderkey").select(
+        F.col("l_suppkey").alias("supplier"), F.col("l_quantity").alias("quantity"),
+        number("o_orderdate").alias("first_day"), number("l_shipdate").alias("last_day"),
+    )
+    days = lines.select("supplier", F.col("last_day").alias("day")).distinct()
+    held = covering(days, lines, ["supplier"], "day", "first_day", "last_day")
+    return held.groupBy("supplier", "day").agg(F.count("quantity").alias("n_open"), F.sum("quantity").alias("quantity"))
+
+
 @query("j3_rating_lookup", sql(
     """select c.game_id, round(r.w_elo, 3) as w_elo, round(r.l_elo, 3) as l_elo from contests c
     left join ratings r on r.league = c.league and r.game_id = c.game_id""", "contests", "ratings"))
