@@ -221,17 +221,31 @@ def _detections(line: Column, table: list[Rule]) -> Column:
     return F.flatten(F.transform(tried, lambda r: _places(line, r["pattern"], r["rule"], r["priority"], r["label"])))
 
 
-def _standing(found: Column) -> Column:
-    """Without what lies inside a detection that outranks it."""
+def _standing(found: Column, levels: int) -> Column:
+    """Labels and highest priority of the detections that do not lie inside one that outranks them.
 
-    def outranked(d: Column, e: Column) -> Column:
-        length, other = d["last"] - d["first"], e["last"] - e["first"]
-        above = (e["priority"] > d["priority"]) | ((e["priority"] == d["priority"]) & (
-            (other > length) | ((other == length) & (e["rule"] < d["rule"]))
-        ))
-        return (e["first"] <= d["first"]) & (e["last"] >= d["last"]) & above
+    One sweep: in order of start, the longest first, then the higher priority, then the rule, whatever may outrank a
+    detection stands before it, and the furthest end so far of each priority tells whether one of those holds it.
+    """
+    ordered = F.array_sort(F.transform(found, lambda d: F.struct(
+        d["first"].alias("first"), (-d["last"]).alias("gone"), (-d["priority"]).alias("rank"), d["rule"].alias("rule"),
+        d["label"].alias("label"),
+    )))
+    start = F.struct(
+        F.array_repeat(F.lit(-1), levels).alias("ends"), F.array().cast("array<string>").alias("labels"), F.lit(0).alias("most")
+    )
+
+    def step(state: Column, d: Column) -> Column:
+        last, priority = -d["gone"], -d["rank"]
+        held = F.array_max(F.slice(state["ends"], priority + 1, F.lit(levels))) >= last
+        return F.struct(
+            F.transform(state["ends"], lambda e, n: F.when((n == priority) & (e < last), last).otherwise(e)).alias("ends"),
+            F.when(held | F.array_contains(state["labels"], d["label"]), state["labels"])
+            .otherwise(F.array_append(state["labels"], d["label"])).alias("labels"),
+            F.when(held, state["most"]).otherwise(F.greatest(state["most"], priority)).alias("most"),
+        )
 
-    return F.filter(found, lambda d: ~F.exists(found, lambda e: outranked(d, e)))
+    return F.aggregate(ordered, start, step)
 
 
 def detect(docs: DataFrame, table: list[Rule] | None = None) -> DataFrame:
@@ -241,6 +255,7 @@ def detect(docs: DataFrame, table: list[Rule] | None = None) -> DataFrame:
     labels. ``score`` is the highest priority of a detection that stands, from 0 (none) to 1. Repeated rows, null ids
     and empty tables pass through as they are.
     """
+    table = table or rules()
     text = F.col("text")
     gated = F.coalesce(text.rlike(GATE), F.lit(False))
     n_words = F.coalesce(F.regexp_count(text, F.lit(_WORD)), F.lit(0)).cast("long")
@@ -254,9 +269,10 @@ def detect(docs: DataFrame, table: list[Rule] | None = None) -> DataFrame:
     none = F.array().cast(_FOUND)
     rows = rows.select(
         "doc_id", "n_words", F.when(F.col("line").isNull(), none).otherwise(phrases).alias("base"),
-        F.when(F.col("line").isNull(), none).otherwise(_detections(F.col("line"), table or rules())).alias("found"),
+        F.when(F.col("line").isNull(), none).otherwise(_detections(F.col("line"), table)).alias("found"),
     )
-    rows = rows.withColumn("standing", _standing(F.col("found")))
+    levels = max((r[1] for r in table), default=0) + 1
+    rows = rows.withColumn("standing", _standing(F.col("found"), levels))
     names = lambda c: F.transform(c, lambda d: d["label"])
     joined = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
     return rows.select(
@@ -264,6 +280,6 @@ def detect(docs: DataFrame, table: list[Rule] | None = None) -> DataFrame:
         F.array_min(F.transform("base", lambda d: d["first"])).cast("long").alias("first_word"),
         F.array_max(F.transform("base", lambda d: d["first"])).cast("long").alias("last_word"),
         joined(names(F.col("base"))).alias("base_labels"),
-        joined(F.concat(names(F.col("base")), names(F.col("standing")))).alias("labels"),
-        (F.coalesce(F.array_max(F.transform("standing", lambda d: d["priority"])), F.lit(0)) / MOST_PRIORITY).alias("score"),
+        joined(F.concat(names(F.col("base")), F.col("standing.labels"))).alias("labels"),
+        (F.col("standing.most") / MOST_PRIORITY).alias("score"),
     )
