@@ -3,15 +3,18 @@
 A day's games all read the ratings at the start of the day; a team playing twice in a day gets the
 sum of both updates. Days of one pool depend on each other, so they run in order:
 
-* by default pools are folded, one pool per task and many at once, a day at a time;
+* by default each pool is a stream sorted by Spark and folded a batch at a time: many pools at once, and
+  memory for a batch and one rating per team, so a pool's number of games has no bound;
 * with ``by_day`` they are stepped through together, each day a distributed join, with every step
-  written to the shared folder. That is the way for pools too large for a task; the caller chooses.
+  written to the shared folder. That is the way where one pool's games take one task too long; the caller chooses.
 
 Both give the same ratings. Games without both teams or both scores go to :func:`unratable` first.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -107,9 +110,11 @@ def open_season(roster: DataFrame, previous: DataFrame | None, rules: EloRules =
 
 
 def pool_folder(rules: EloRules):
-    """Function that rates one pool in day order: one pass over its days, vectorised within a day.
+    """Function that rates pools that arrive in day order, batch by batch, vectorised within a day.
 
-    It closes over plain numbers only, so executors need numpy and pandas but not this package.
+    Rows are sorted by pool, opening ratings before games, games by day; a day may run over several batches. What it
+    holds is the batch and one rating per team of the pool, whatever the number of games. It closes over plain numbers
+    only, so executors need numpy and pandas but not this package.
     """
     first_rating, bonus, gain = rules.start, rules.home_bonus, rules.gain
     offset, power = rules.margin_offset, rules.margin_power
@@ -117,62 +122,82 @@ def pool_folder(rules: EloRules):
     share, target = rules.carried_share, rules.carry_target
     columns = RATING_HISTORY.fieldNames()
 
-    def fold(games: pd.DataFrame, opening: pd.DataFrame | None = None) -> pd.DataFrame:
-        size = len(games)
-        games = games.sort_values(["season", "day_num", "game_id"], ignore_index=True)
-        season, day = games["season"].to_numpy(), games["day_num"].to_numpy()
-        codes, teams = pd.factorize(np.concatenate([games["w_id"].to_numpy(), games["l_id"].to_numpy()]))
-        w, l = codes[:size], codes[size:]
-        scale = np.power(games["margin"].to_numpy() + offset, power)
-        at_home = bonus * games["home"].to_numpy()
-
-        rating = np.full(len(teams), first_rating)
-        current = season[0] if size else 0
-        if opening is not None and len(opening):
-            held = opening.set_index("team")["rating"].reindex(teams).to_numpy()
-            rating = np.where(np.isnan(held), first_rating, held)
-            current = int(opening["season"].max())
-
-        w_elo, l_elo, pred, update = (np.empty(size) for _ in range(4))
-        new_day = (season[1:] != season[:-1]) | (day[1:] != day[:-1])
-        edges = [*np.flatnonzero(np.r_[True, new_day]), size] if size else []
-        for a, b in zip(edges, edges[1:]):
-            if season[a] != current:
-                rating = target + share ** int(season[a] - current) * (rating - target)
-                current = season[a]
-            w_elo[a:b], l_elo[a:b] = rating[w[a:b]], rating[l[a:b]]
-            diff = w_elo[a:b] - l_elo[a:b] + at_home[a:b]
-            pred[a:b] = 1.0 / (10.0 ** (-diff / 400.0) + 1.0)
-            expected = even + slope * diff
-            ratio = np.divide(scale[a:b], expected, out=np.zeros(b - a), where=expected != 0)
-            update[a:b] = gain * ratio * (1.0 - pred[a:b])
-            np.add.at(rating, w[a:b], update[a:b])
-            np.subtract.at(rating, l[a:b], update[a:b])
-        games = games.assign(
-            pred=pred, update=update, w_elo=w_elo, w_new_elo=w_elo + update, l_elo=l_elo, l_new_elo=l_elo - update
-        )
-        return games[columns]
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        league = season = day = first_season = None
+        places: dict[int, int] = {}
+        # Ratings at the start of the day, and what the day has moved so far.
+        rating, moved = np.empty(0), np.empty(0)
+
+        def places_of(teams: np.ndarray) -> np.ndarray:
+            """Slots of the teams; newcomers open as if they had been idle since the pool's first season."""
+            nonlocal rating, moved
+            distinct, back = np.unique(teams, return_inverse=True)
+            slots = np.array([places.setdefault(t, len(places)) for t in distinct.tolist()], np.int64)
+            if len(places) > len(rating):
+                # Room is doubled, so that it is not copied for every batch with a newcomer.
+                more = max(len(places), 2 * len(rating)) - len(rating)
+                rating, moved = np.r_[rating, np.full(more, np.nan)], np.r_[moved, np.zeros(more)]
+            fresh = slots[np.isnan(rating[slots])]
+            rating[fresh] = target + share ** int(season - first_season) * (first_rating - target)
+            return slots[back]
+
+        for rows in batches:
+            if not len(rows):
+                continue
+            own = [rows[c].to_numpy() for c in ("league", "season", "day_num")]
+            opens = rows["rating"].notna().to_numpy()
+            size = len(rows)
+            w_ids, l_ids = rows["w_id"].to_numpy(), rows["l_id"].to_numpy()
+            scale = np.power(rows["margin"].to_numpy() + offset, power)
+            at_home = bonus * rows["home"].to_numpy()
+            w_elo, l_elo, pred, update = (np.empty(size) for _ in range(4))
+            change = np.r_[True, opens[1:] != opens[:-1]]
+            for values in own:
+                change[1:] |= values[1:] != values[:-1]
+            edges = [*np.flatnonzero(change), size]
+            for a, b in zip(edges, edges[1:]):
+                if own[0][a] != league:
+                    league, season, day = own[0][a], own[1][a], None
+                    first_season, places = season, {}
+                    rating, moved = np.empty(0), np.empty(0)
+                if opens[a]:
+                    slots = places_of(w_ids[a:b])
+                    rating[slots] = rows["rating"].to_numpy()[a:b]
+                    continue
+                if (own[1][a], own[2][a]) != (season, day):
+                    rating, moved = rating + moved, np.zeros(len(moved))
+                    rating = target + share ** int(own[1][a] - season) * (rating - target)
+                    season, day = own[1][a], own[2][a]
+                w, l = places_of(w_ids[a:b]), places_of(l_ids[a:b])
+                w_elo[a:b], l_elo[a:b] = rating[w], rating[l]
+                diff = w_elo[a:b] - l_elo[a:b] + at_home[a:b]
+                pred[a:b] = 1.0 / (10.0 ** (-diff / 400.0) + 1.0)
+                expected = even + slope * diff
+                ratio = np.divide(scale[a:b], expected, out=np.zeros(b - a), where=expected != 0)
+                update[a:b] = gain * ratio * (1.0 - pred[a:b])
+                np.add.at(moved, w, update[a:b])
+                np.subtract.at(moved, l, update[a:b])
+            rated = rows.assign(
+                pred=pred, update=update, w_elo=w_elo, w_new_elo=w_elo + update, l_elo=l_elo, l_new_elo=l_elo - update
+            )
+            yield rated.loc[~opens, columns]
 
     return fold
 
 
 def _fold(games: DataFrame, opening: DataFrame | None, rules: EloRules) -> DataFrame:
-    fold = pool_folder(rules)
-    # A small number instead of a text keeps the pools compact in the Python workers.
+    """Pools as sorted streams: Spark sorts (and spills) a pool's rows, the task holds a batch and the teams."""
+    # A small number instead of a text keeps the rows compact in the Python workers.
     home = F.when(F.col("w_loc") == "H", 1.0).when(F.col("w_loc") == "A", -1.0).otherwise(0.0)
-    pools = games.withColumn("home", home).drop("w_loc").groupBy("league")
-    if opening is None:
-
-        def alone(pdf: pd.DataFrame) -> pd.DataFrame:
-            return fold(pdf)
-
-        return pools.applyInPandas(alone, schema=RATING_HISTORY)
-    known = opening.select("league", "season", "team", "rating").groupBy("league")
-
-    def resumed(pdf: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        return fold(pdf, held)
-
-    return pools.cogroup(known).applyInPandas(resumed, schema=RATING_HISTORY)
+    rows = games.withColumn("home", home).drop("w_loc").withColumn("rating", F.lit(None).cast("double"))
+    if opening is not None:
+        kinds = {f.name: f.dataType for f in rows.schema.fields}
+        held = opening.where("rating is not null").withColumnsRenamed({"team": "w_id"}).withColumn("l_id", F.col("w_id"))
+        blanks = {c: F.lit(-1).cast(kinds[c]) for c in ("game_id", "day_num", "margin")} | {"home": F.lit(0.0)}
+        held = held.withColumns(blanks).select(*[F.col(c).cast(kinds[c]) for c in rows.columns])
+        rows = rows.unionByName(held)
+    order = ["league", F.col("rating").isNull(), "season", "day_num", "game_id"]
+    return rows.repartition("league").sortWithinPartitions(*order).mapInPandas(pool_folder(rules), RATING_HISTORY)
 
 
 def step_through_days(

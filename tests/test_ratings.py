@@ -122,3 +122,73 @@ def test_unknown_team_goes_to_the_error_output(spark):
     log = games(spark, [(1, "a", 2000, 1, 1, 9, 2, 8, "N")]).withColumn("margin", F.lit(1))
     ratings = spark.createDataFrame([("a", 1, 1500.0)], "league string, team long, rating double")
     assert R.unrated(R.rate_day(log, ratings)).count() == 1
+
+
+def by_hand(rows, rules=R.RULES):
+    """All pools in plain Python, a day at a time."""
+    out, rating, start, current = {}, {}, {}, {}
+    days = sorted({(r[2], r[3], r[1]) for r in rows if r[3] >= rules.first_day})
+    for season, day, league in days:
+        today = [r for r in rows if (r[2], r[3], r[1]) == (season, day, league)]
+        first = start.setdefault(league, season)
+        pool = rating.setdefault(league, {})
+        for _ in range(season - current.get(league, season)):
+            for team in pool:
+                pool[team] = 0.75 * pool[team] + 0.25 * 1505
+        current[league] = season
+        for r in today:
+            for team in (r[4], r[6]):
+                pool.setdefault(team, 1505 + 0.75 ** (season - first) * (1500 - 1505))
+        moved = {}
+        for key, _, _, _, w, a, l, b, loc in today:
+            diff = pool[w] - pool[l] + {"H": 100, "A": -100, "N": 0}[loc]
+            out[key] = (pool[w], pool[l], *expected_update(diff, a - b))
+            moved[w] = moved.get(w, 0) + out[key][3]
+            moved[l] = moved.get(l, 0) - out[key][3]
+        for team, points in moved.items():
+            pool[team] += points
+    return out
+
+
+@pytest.mark.parametrize("batch", [1, 7, 10_000])
+def test_days_that_run_over_batches(spark, batch):
+    """A pool is rated the same however its rows are cut into batches; teams join in later seasons too."""
+    rows = random_games(5, leagues=3, days=8, per_day=9, teams=12)
+    rows = [r for r in rows if not (r[2] < 2003 and 11 in (r[4], r[6]))]
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, batch)
+    try:
+        got = by_game(R.rate_games(games(spark, rows)))
+    finally:
+        spark.conf.set(name, before)
+    want = by_hand(rows)
+    assert got.keys() == want.keys()
+    for key, r in got.items():
+        assert (r.w_elo, r.l_elo, r.pred, r.update) == pytest.approx(want[key], rel=1e-9)
+
+
+def test_one_pool_holds_teams_not_games(spark):
+    """The fold sees a pool batch by batch: its largest input frame does not grow with the pool."""
+    import pandas as pd
+
+    sizes = []
+
+    def frames(count):
+        for n in range(count):
+            frame = pd.DataFrame({
+                "game_id": range(n * 50, n * 50 + 50), "league": "a", "season": 2001, "day_num": n // 3 + 1,
+                "w_id": [k % 10 for k in range(50)], "l_id": [(k + 1) % 10 for k in range(50)],
+                "margin": 5, "home": 0.0, "rating": float("nan"),
+            })
+            sizes.append(len(frame))
+            yield frame
+
+    stream = R.pool_folder(R.RULES)(frames(200))
+    first = next(stream)
+    assert len(first) == 50 and sizes == [50]
+    assert sum(len(f) for f in stream) == 199 * 50
+
+
+def test_no_games_give_no_ratings(spark):
+    assert R.rate_games(games(spark, [])).count() == 0
