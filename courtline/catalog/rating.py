@@ -13,6 +13,8 @@ from courtline.operators.ratings import (
 )
 from courtline.schemas import RATING_HISTORY
 from courtline.sources import tables as t
+from courtline.storage import new_path
+from courtline.streaming.rating_runs import GAMES, live_history, rate_available
 
 _HISTORY_SQL = """select league, game_id, season, day_num, round(pred, 6) as pred, round("update", 3) as "update", w_id,
     round(w_elo, 3) as w_elo, round(w_new_elo, 3) as w_new_elo, l_id, round(l_elo, 3) as l_elo, round(l_new_elo, 3) as l_new_elo"""
@@ -102,6 +104,19 @@ def _(spark, sf):
     return rounded_history(rating_history(spark, sf))
 
 
+@query("r6_streamed_history", sql(f"{_HISTORY_SQL} from ratings", "ratings"))
+def _(spark, sf):
+    """The log in three arrivals, each with days before those of the one before it."""
+    folder, root = new_path(spark, "arriving"), new_path(spark, "rated")
+    games = t.game_log(spark, sf).select(*GAMES.fieldNames())
+    early = F.col("season") < 1997
+    for n, part in enumerate((early & (F.col("day_num") % 7 != 3), ~early, early & (F.col("day_num") % 7 == 3))):
+        games.where(part).write.parquet(f"{folder}/{n}")
+        query = rate_available(spark, f"{folder}/*", root, f"{root}-checkpoint")
+        query.awaitTermination()
+    return rounded_history(live_history(spark, root))
+
+
 _DAY = "cast(dayofyear(o.o_orderdate) - 1 as int) as day_num"
 _MONTH = "cast((dayofyear(o.o_orderdate) - 1) // 31 + 1 as int) as day_num"
 
