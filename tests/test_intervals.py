@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from courtline.operators.lookups import covering
+from tests_plan import plan
 
 
 @pytest.mark.parametrize("how", ["left", "inner"])
@@ -45,3 +46,13 @@ def test_ten_thousand_tenures_of_one_team(spark):
     assert got.count() == sum(len([i for i in (d // 10, d // 10 - 1) if 0 <= i < 10_000 and i * 10 <= d <= i * 10 + 14]) for d in range(0, 100_000, 2))
     text = got._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in text and "Cartesian" not in text and "level" in text
+
+
+def test_pairs_are_not_shuffled_again(spark):
+    """Each side is moved once, and few long intervals among short ones are cut to no more blocks than there are intervals."""
+    r = spark.range(1000).selectExpr("1 as team", "id as first_day", "if(id = 3, 1000000, id + 3) as last_day", "id as coach")
+    l = spark.range(-3, 2000).selectExpr("1 as team", "id as day", "id")
+    got = covering(l.hint("merge"), r, ["team"], "day", "first_day", "last_day")
+    assert plan(got).count("Exchange hashpartitioning") <= 2
+    assert got.filter("coach is not null").count() == 999 * 4 + 1997
+    assert got.filter("coach is null").count() == 3
