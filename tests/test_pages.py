@@ -1,11 +1,13 @@
 """The element reader against pages written by hand, and over the whole given pages."""
 
+import random
 from html.parser import HTMLParser
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from courtline.operators import ingest
-from courtline.operators.pages import first, read_page, select, text_of, with_elements
+from courtline.operators.pages import _elements, _Reader, first, read_page, select, text_of, with_elements
 
 PAGE = """<html><!-- <a href="/no">no</a> --><body class=x><script>var a = "<td class='fg'>0</td>";</script>
 <div class="team away"><a HREF='/id/7?x=1&amp;y' class="team-name">St. <b>John&#39;s</b></a><table><tr><td class=fg>27<i>-55</i><td class=pts>7
@@ -84,3 +86,40 @@ def test_links_equal_the_standard_parser_over_nested_pages(spark, small):
 def test_labelled_text_decodes(spark):
     pages = spark.createDataFrame([(1, "<title>a &amp;  b</title><div class='x ad'>c<b>d</b></div>"), (2, None)], "page_id long, html string")
     assert [tuple(r) for r in ingest.labelled_text(pages).orderBy("page_id").collect()] == [(1, "a & b", None, "cd"), (2, None, None, None)]
+
+
+def test_plain_markup_reads_as_the_parser_does():
+    """The reader without the parser says what the parser says, or leaves the page to it."""
+    rng = random.Random(1)
+    bits = [
+        "<a href='x'>", '<A HREF="y z" href=q>', "</a>", "<td class=fg>", "<td>", "</td>", "<tr>", "<table>", "</table>", "<br/>", "<b>", "</b>",
+        "</ b>", "x &amp; y", "&copy", "& ", "&#45;", "<!-- a - b -->", "<!-->", "<!DOCTYPE html>", "<title>", "t</title>", "<title>a</title>",
+        "<script>", "<script>a &amp; b</script>", "<style>p</style>", "</style>", "<3", '"', "'", '<a href="a&amp;b">', "<a b c=d/>", "<li>", "<x-y>",
+        '<div class="team home">', "</div>", "<", "</", "&lt", "<textarea>", "<b/>",
+    ]
+    plain = 0
+    for _ in range(3000):
+        html = "".join(rng.choice(bits) for _ in range(rng.randint(1, 8)))
+        whole, quick = _Reader(), _Reader()
+        whole.feed(html)
+        whole.close()
+        if quick.read(html):
+            plain += 1
+            assert quick.result() == whole.result(), html
+        assert read_page(html) == whole.result()
+    assert plain > 300
+
+
+def test_box_score_page_needs_no_parser():
+    assert _Reader().read("<html><title>a</title><td class=fg><span title='a > b'>7<i>&#45;</i>9</span></html>")
+
+
+def test_wanted_elements_only():
+    """Elements come in groups of few pages; those not asked for stay behind, and places are those of the whole page."""
+    pages = pa.array([PAGE, None, "<b>x</b>" * 40_000, PAGE])
+    every, some = _elements(pages).to_pylist(), _elements(pages, (("a", ()), (None, ("team",)))).to_pylist()
+    assert every == [read_page(h) or {"text": None, "elements": None} for h in pages.to_pylist()]
+    for a, b in zip(every, some):
+        assert a["text"] == b["text"]
+        fit = a["elements"] and [e for e in a["elements"] if e["tag"] == "a" or "team" in e["classes"]]
+        assert b["elements"] == fit
