@@ -100,7 +100,10 @@ _STEP_STATS = [f"{b}_{s}" for b in ("t1", "o1", "t2", "o2") for s in STATS]
 
 def _stored_steps(spark, sf):
     path = new_path(spark, "steps")
-    files.write_season_partitions(sequence_steps(sequences(spark, sf), bounds(spark, sf)), path, "parquet")
+    games, fitted, packing = sequences(spark, sf)
+    # Spread by season while histories are packed; the long form is made where it is written.
+    steps = sequence_steps(files.by_season(games), fitted, packing)
+    files.write_season_partitions(steps, path, "parquet", spread=False)
     return path
 
 
