@@ -4,12 +4,12 @@ import random
 
 from pyspark.sql import functions as F
 
-from courtline.catalog.modelling import bounds, sequences
+from courtline.catalog.modelling import bounds, flat_rows, season_range, sequence_rows, sequences
 from courtline.catalog.shaping import rounded
 from courtline.functions.rounding import half_up_sql
 from courtline.operators.games import team_games
 from courtline.operators.packing import WORD, Packing
-from courtline.plans.sequences import ordered_steps, sequence_games, sequence_steps
+from courtline.plans.sequences import encoded, indexed_facts, ordered_steps, sequence_games, sequence_steps, team_vocabulary
 from courtline.session import SETTINGS, settled
 from courtline.sources import files, tables
 
@@ -71,3 +71,13 @@ def test_season_write_sorts_nothing(spark, tmp_path):
     assert spark.conf.get(setting) == before
     back = files.read_seasons(spark, path, 1980, 2020).select("id", F.col("season").cast("int").alias("season"))
     assert back.exceptAll(rows).count() == rows.exceptAll(back).count() == 0
+
+
+def test_flat_vectors_are_made_from_what_is_stored(spark, small):
+    assert set(sequence_rows(spark, small).columns) == {"game_id", "label", "slots", "steps"}
+    games, teams = tables.game_log(spark, small), tables.teams(spark, small)
+    size, seasons = teams.count(), season_range(spark, small)
+    facts = indexed_facts(team_games(games), team_vocabulary(teams), size)
+    want = encoded(sequence_games(games, facts=facts), bounds(spark, small), (seasons[0], seasons[1]), 366, size)[0]
+    vectors = lambda rows: {r.game_id: (r.label, r.features) for r in rows.select("game_id", "label", "features").collect()}
+    assert vectors(flat_rows(spark, small)) == vectors(want)
