@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from courtline.catalog.modelling import bounds, flat_rows, season_range, sequence_rows, sequences
@@ -9,6 +11,7 @@ from courtline.catalog.shaping import rounded
 from courtline.functions.rounding import half_up_sql
 from courtline.operators.games import team_games
 from courtline.operators.packing import WORD, Packing
+from courtline.plans import models, recurrent
 from courtline.plans.sequences import encoded, indexed_facts, ordered_steps, sequence_games, sequence_steps, team_vocabulary
 from courtline.session import SETTINGS, settled
 from courtline.sources import files, tables
@@ -81,3 +84,32 @@ def test_flat_vectors_are_made_from_what_is_stored(spark, small):
     want = encoded(sequence_games(games, facts=facts), bounds(spark, small), (seasons[0], seasons[1]), 366, size)[0]
     vectors = lambda rows: {r.game_id: (r.label, r.features) for r in rows.select("game_id", "label", "features").collect()}
     assert vectors(flat_rows(spark, small)) == vectors(want)
+
+
+def test_trees_are_grown_by_as_many_tasks_as_there_are_cores_for(spark, monkeypatch):
+    class Trees:
+        def __init__(self, **_):
+            pass
+
+        def fit(self, rows):
+            return rows.rdd.getNumPartitions()
+
+    monkeypatch.setattr(models, "GBTRegressor", Trees)
+    columns = [c for c in models.FEATURES if not c.endswith("coach_index")]
+    rows = spark.range(300).select(
+        F.col("id").alias("game_id"), *[F.lit(1.0).alias(c) for c in columns], F.lit("a").alias("w_coach"),
+        F.lit("b").alias("l_coach"), F.lit(70).alias("w_score"), F.lit(60).alias("l_score"),
+    )
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "100")
+    try:
+        fitted = models.ScoreModels.fit(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert fitted.w == fitted.l == 2 * spark.sparkContext.defaultParallelism
+
+
+def test_steps_are_laid_out_from_a_slice_of_a_batch():
+    network = recurrent.Network(2, 3, (4,), ("tanh",))
+    steps = pa.array([[float(6 * i + k) for k in range(6)] for i in range(9)], pa.list_(pa.float64())).slice(4, 3)
+    assert recurrent._table(steps, network).tolist() == np.arange(24.0, 42.0).reshape(3, 2, 3).tolist()
