@@ -1,12 +1,14 @@
 """File sources and sinks, and the adapters' own properties."""
 
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from courtline.sources import files, tables
-from courtline.storage import new_path
+from courtline.storage import OPEN_PARTITIONS, SORTED_SPLIT, new_path, open_partitions, setting, small_splits
+from tests_plan import exchanges, plan
 
 
 def test_hot_order_gives_one_game(spark):
@@ -80,3 +82,43 @@ def test_tenures_do_not_overlap(spark, small):
     a, b = t.alias("a"), t.alias("b")
     both = a.join(b, (F.col("a.season") == F.col("b.season")) & (F.col("a.team") == F.col("b.team")) & (F.col("a.first_day") < F.col("b.first_day")))
     assert both.filter("a.last_day >= b.first_day").count() == 0
+
+
+def _order_lines(spark):
+    """Orders of one line, of two suppliers, of one supplier only, of one supplier's many dear lines, and repeated or without keys."""
+    lines = [(1, 5, 900.0), (2, 5, 900.0), (2, 6, 800.0), (2, 5, 700.0), (3, 5, 900.0), (3, 5, 800.0), (5, None, 9.0), (5, None, 8.0)]
+    lines += [(4, 7, 1000.0 + n) for n in range(40)] + [(4, 8, 3.0), (4, 9, 5.0), (4, 9, 4.0), (6, 7, None), (6, 7, 5.0), (6, 8, 6.0)]
+    lines += [(7, 1, 5.0), (7, 1, 5.0), (7, 2, 5.0), (5, 3, 1.0), (None, 1, 2.0), (None, 2, 1.0)]
+    lineitem = spark.createDataFrame(
+        [(o, s, n % 7 + 1, n * 3 % 11, float(n % 5), p, "RAN"[n % 3]) for n, (o, s, p) in enumerate(lines)],
+        "l_orderkey long, l_suppkey long, l_linenumber int, l_partkey long, l_quantity double, l_extendedprice double, l_returnflag string",
+    )
+    orders = spark.createDataFrame([(k, "1-URGENT", f"{1990 + k}-03-01") for k in (1, 2, 3, 4, 5, 6, 7, 7)], "o_orderkey long, o_orderpriority string, d string")
+    return lineitem, orders.select("o_orderkey", "o_orderpriority", F.col("d").cast("timestamp_ntz").alias("o_orderdate"))
+
+
+@pytest.mark.parametrize("wanted", ["l_orderkey > 0", "l_orderkey = 2", "l_orderkey = 4"])
+def test_stored_game_log_is_the_whole_one(spark, wanted):
+    """Whether or not there are orders whose two dearest lines are of one supplier."""
+    lineitem, orders = _order_lines(spark)
+    want = tables.build_game_log(lineitem.where(wanted), orders)
+    got = spark.read.parquet(tables.write_game_log(lineitem.where(wanted).repartition(5), orders, new_path(spark, "log"))).select(*want.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > 0
+
+
+def test_game_log_shuffles_and_sorts_lines_once(spark):
+    """Two shuffles of the lines, and a sort of the wide rows by season for the write, were what spilled."""
+    lineitem, orders = _order_lines(spark)
+    text = plan(tables.two_dearest(lineitem, orders))
+    assert len([keys for keys in exchanges(text) if "l_orderkey" in keys]) == 1 and "l_suppkey" not in "".join(exchanges(text))
+    assert re.search(r"WindowGroupLimit.*Partial", text) and text.count("Sort [l_orderkey") == 2
+
+
+def test_settings_of_a_write_are_put_back(spark):
+    names = ("spark.sql.maxConcurrentOutputFileWriters", "spark.sql.files.maxPartitionBytes")
+    before = [spark.conf.get(n) for n in names]
+    with open_partitions(spark), small_splits(spark):
+        assert [spark.conf.get(n) for n in names] == [str(OPEN_PARTITIONS), str(SORTED_SPLIT)]
+    assert [spark.conf.get(n) for n in names] == before
+    with setting(spark, names[1], "8m"), small_splits(spark):
+        assert spark.conf.get(names[1]) == str(8 << 20)
