@@ -13,7 +13,7 @@ from courtline.operators.ratings import (
 )
 from courtline.schemas import RATING_HISTORY
 from courtline.sources import tables as t
-from courtline.storage import new_path
+from courtline.storage import new_path, stored
 from courtline.streaming.rating_runs import GAMES, live_history, rate_available
 
 _HISTORY_SQL = """select league, game_id, season, day_num, round(pred, 6) as pred, round("update", 3) as "update", w_id,
@@ -155,7 +155,8 @@ def _(spark, sf):
     """Ratings of the later seasons, resumed from all snapshots of the earlier ones."""
     history = rating_history(spark, sf)
     before = season_snapshots(history.filter("season < 1996"))
-    resumed = rate_games(t.game_log(spark, sf).filter("season >= 1996"), before)
+    # Stored, as the snapshots read it more than once and a pool is one task's work.
+    resumed = stored(rate_games(t.game_log(spark, sf).filter("season >= 1996"), before), "resumed")
     return rounded(season_snapshots(resumed, before), ["rating"], 3)
 
 

@@ -192,3 +192,10 @@ def test_one_pool_holds_teams_not_games(spark):
 
 def test_no_games_give_no_ratings(spark):
     assert R.rate_games(games(spark, [])).count() == 0
+
+
+def test_resumed_pools_are_folded_once(spark, small):
+    """The snapshots read the resumed history from a table; the fold ran again for every use of it."""
+    from courtline.catalog import QUERIES
+
+    assert "MapInPandas" not in QUERIES["r7_resumed_snapshots"].plan(spark, small)._jdf.queryExecution().executedPlan().toString()
