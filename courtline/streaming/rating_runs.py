@@ -18,6 +18,7 @@ from pyspark.sql.types import IntegerType, LongType, StringType, StructField, St
 from courtline.functions.elo import EloRules
 from courtline.operators.ratings import RULES, rate_games, two_sided, unratable
 from courtline.schemas import GAME_LOG, RATING_HISTORY
+from courtline.storage import stored
 
 GAMES = StructType([GAME_LOG[c] for c in ("game_id", "league", "season", "day_num", "w_id", "w_score", "l_id", "l_score", "w_loc")])
 _POINTS = StructType([
@@ -91,9 +92,10 @@ def absorb(spark: SparkSession, root: str, arrived: DataFrame, batch: int, rules
     fresh = spark.read.schema(GAMES).parquet(f"{root}/games/batch={batch}")
 
     first = F.min(_point("season", "day_num")).alias("first")
-    points = fresh.groupBy("league").agg(first).select(
+    # A table, one row a pool: joined by its measured size, so that games are sorted by pool for the fold only.
+    points = stored(fresh.groupBy("league").agg(first).select(
         "league", F.col("first.season").alias("from_season"), F.col("first.day").alias("from_day")
-    )
+    ), "points")
     after = _point("season", "day_num") >= _point("from_season", "from_day")
     games = known_games(spark, root, batch).unionByName(fresh)
     rerun = games.join(points, "league").where(after).select(*own)

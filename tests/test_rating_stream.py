@@ -8,6 +8,7 @@ from courtline.operators import ratings as R
 from courtline.storage import new_path
 from courtline.streaming import rating_runs as S
 from test_ratings import by_game, close, games, random_games
+from tests_plan import plan
 
 
 def arrive(spark, rows, folder, n):
@@ -92,3 +93,20 @@ def test_rejected_early_and_empty(spark):
     S.absorb(spark, root, games(spark, rows), 1)
     assert set(by_game(S.live_history(spark, root))) == {1, 5}
     assert spark.read.parquet(f"{root}/rejected/batch=1").count() == 2
+
+
+def test_games_are_not_sorted_by_pool_to_find_where_it_begins(spark, monkeypatch):
+    """The points of a batch are a table that is joined by its size; they were an aggregate of unknown size in every plan."""
+    seen = []
+
+    def rate(rerun, opening, rules):
+        seen.append(plan(rerun))
+        return R.rate_games(rerun, opening, rules)
+
+    monkeypatch.setattr(S, "rate_games", rate)
+    rows = random_games(5, leagues=2, seasons=(2001,), days=4, per_day=3, teams=6)
+    folder, root = new_path(spark, "arriving"), new_path(spark, "rated")
+    arrive(spark, rows, folder, 0)
+    run(spark, folder, root)
+    assert len(seen) == 1 and "min(" not in seen[0] and "BroadcastHashJoin" in seen[0]
+    close(by_game(S.live_history(spark, root)), whole(spark, rows))
