@@ -122,3 +122,17 @@ def test_settings_of_a_write_are_put_back(spark):
     assert [spark.conf.get(n) for n in names] == before
     with setting(spark, names[1], "8m"), small_splits(spark):
         assert spark.conf.get(names[1]) == str(8 << 20)
+
+
+def test_trailing_table_is_built_from_small_splits(spark, monkeypatch):
+    """A task's totals per team and day are as many as the rows it reads; whole splits of them spilled."""
+    from courtline.catalog import registry
+
+    seen = []
+
+    def kept(session, *_, **__):
+        seen.append(session.conf.get("spark.sql.files.maxPartitionBytes"))
+        return session.createDataFrame([(1, 1999)], "v int, season int")
+
+    monkeypatch.setattr(registry, "kept_table", kept)
+    assert registry.trailing_table(spark, "none").count() == 1 and seen == [str(SORTED_SPLIT)]
