@@ -17,7 +17,7 @@ from courtline.plans.sequences import sequence_steps
 from courtline.schemas import CANDIDATE, GAME_LOG, STATS, SUBMISSION, SUBMISSION_FULL, TRAILING
 from courtline.sources import files
 from courtline.sources import tables as t
-from courtline.storage import new_path
+from courtline.storage import new_path, small_splits
 
 
 @query("s1_csv_scan", sql("select * from contests", "contests"))
@@ -59,7 +59,9 @@ def _(spark, sf):
 @query("s2_orc_scan", sql(f"select {ROLLING_SQL} from rolling", "rolling"))
 def _(spark, sf):
     path = new_path(spark, "stats_orc")
-    files.write_orc(rolling(spark, sf), path)
+    # As in trailing_table: what a task totals is about what it reads.
+    with small_splits(spark):
+        files.write_orc(rolling(spark, sf), path)
     return rounded(files.read_orc(spark, path), TRAILING)
 
 

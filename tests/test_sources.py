@@ -136,3 +136,20 @@ def test_trailing_table_is_built_from_small_splits(spark, monkeypatch):
 
     monkeypatch.setattr(registry, "kept_table", kept)
     assert registry.trailing_table(spark, "none").count() == 1 and seen == [str(SORTED_SPLIT)]
+
+
+def test_orc_statistics_are_totalled_from_small_splits(spark, small, monkeypatch):
+    """As the trailing table: totals are as many as the rows a task reads, and whole splits of them spilled."""
+    from courtline.catalog import storing
+    from courtline.catalog.registry import QUERIES
+
+    name = "spark.sql.files.maxPartitionBytes"
+    before, seen, write = spark.conf.get(name), [], files.write_orc
+
+    def written(df, path):
+        seen.append(spark.conf.get(name))
+        write(df, path)
+
+    monkeypatch.setattr(storing.files, "write_orc", written)
+    assert QUERIES["s2_orc_scan"].plan(spark, small).count() > 0
+    assert seen == [str(SORTED_SPLIT)] and spark.conf.get(name) == before
