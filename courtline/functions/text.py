@@ -11,13 +11,21 @@ def _col(c: Column | str) -> Column:
 
 
 def made_and_attempted(cell: Column | str) -> tuple[Column, Column]:
-    """``27-55`` to 27 and 55; anything that is no number becomes null."""
-    parts = F.split(_col(cell), "-")
-    return F.get(parts, F.lit(0)).try_cast("int"), F.get(parts, F.lit(1)).try_cast("int")
+    """``27-55`` to 27 and 55; anything that is no number becomes null.
+
+    Cut at the dashes byte by byte: a split by a pattern makes an array of the parts for either number.
+    """
+    said = _col(cell)
+    dash = F.instr(said, "-")
+    rest = F.when(dash > 0, F.substring_index(F.substr(said, dash + 1), "-", 1))
+    return F.substring_index(said, "-", 1).try_cast("int"), rest.try_cast("int")
 
 
 def path_segment(url: Column | str, from_end: int) -> Column:
-    return F.try_element_at(F.split(_col(url), "/"), F.lit(-from_end))
+    """The slash-separated part at this place from the end, the last being 1; null where there are fewer."""
+    whole = _col(url)
+    part = F.substring_index(F.substring_index(whole, "/", -from_end), "/", 1)
+    return part if from_end == 1 else F.when(F.substring_index(whole, "/", 1 - from_end) != whole, part)
 
 
 def query_value(url: Column | str) -> Column:

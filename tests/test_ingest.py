@@ -2,6 +2,9 @@
 
 
 
+from pyspark.sql import functions as F
+
+from courtline.functions import text
 from courtline.operators import ingest
 from courtline.schemas import LEDGER
 from courtline.storage import new_path
@@ -86,3 +89,19 @@ def test_links_and_cells(spark):
     assert [tuple(r) for r in ingest.links(pages, "gameId=").collect()] == [("one", "/a?gameId=7")]
     got = {r.page_id: r for r in ingest.labelled_text(pages).collect()}
     assert got[1].title == "T" and got[1].cell is None and got[2].title is None
+
+
+def test_cells_are_cut_without_arrays(spark):
+    """Numbers and link parts are those of a split at every dash and slash, but no array is made for each of them."""
+    said = ["27-55", "7", "", "-", "3-", "-4", "1-2-3", " 1 - 2 ", "a-b", "--", None, "/team/_/id/12/x", "12/x", "x", "/", "//", "a/b/", "\u00e9-5/\u00e9"]
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate(said)], "i int, s string")
+    made, attempted = text.made_and_attempted("s")
+    parts = [text.path_segment("s", n).alias(f"p{n}") for n in (1, 2, 3)]
+    found = rows.select("i", made.alias("made"), attempted.alias("attempted"), *parts)
+    dashes, slashes = F.split("s", "-"), F.split("s", "/")
+    wanted = rows.select(
+        "i", F.get(dashes, F.lit(0)).try_cast("int"), F.get(dashes, F.lit(1)).try_cast("int"),
+        *[F.try_element_at(slashes, F.lit(-n)) for n in (1, 2, 3)],
+    )
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, wanted.collect()))
+    assert "split(" not in found._jdf.queryExecution().analyzed().toString()
