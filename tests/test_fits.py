@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from courtline.catalog import modelling
 from courtline.plans import recurrent
 from courtline.plans import sequences as q
 from courtline.schemas import STATS
@@ -62,3 +63,11 @@ def test_scores_come_with_their_rows(spark):
     got = {r.key: r.p for r in recurrent.lower_wins(rows, [network, network]).collect()}
     assert all((got[k] is None) == (s is None) for k, s in enumerate(steps))
     assert all(np.allclose(got[k], network.probability(np.array(s).reshape(1, 2, 1))[0]) for k, s in enumerate(steps) if s)
+
+
+def test_upcoming_rounds_are_scored_by_models_of_all_games(spark, monkeypatch):
+    rows = spark.range(100).withColumnRenamed("id", "game_id")
+    monkeypatch.setattr(modelling, "written_rows", lambda spark, sf: rows)
+    monkeypatch.setattr(modelling, "kept_model", lambda spark, sf, name, build: build())
+    monkeypatch.setattr(modelling.m.ScoreModels, "fit", staticmethod(lambda rows: rows.count()))
+    assert modelling.round_models(spark, "none") == 100 > modelling.score_models(spark, "none") > 50
