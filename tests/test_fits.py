@@ -1,7 +1,8 @@
 """What the fits of the flat classifier and of the recurrent networks read and compute."""
 
 import numpy as np
-from pyspark.ml.functions import array_to_vector
+import pytest
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from courtline.catalog import modelling
@@ -35,6 +36,14 @@ def test_encoded_slots_are_the_encoders_vectors_without_names(spark):
     assert len(vectors) == 40 and all(vectors[r.game_id] == r.features for r in want.collect())
 
 
+@pytest.mark.parametrize("column", ["slots", "steps"])
+def test_nulls_make_no_vector(spark, column):
+    rows = _slot_rows(spark)
+    broken = rows.withColumn(column, F.expr(f"transform({column}, (v, i) -> if(i = 3, null, v))"))
+    with pytest.raises(Exception, match="slot is null|[Ss]parse vectors require"):
+        q.encoded_slots(broken, (0, 1), 366, 8).select(vector_to_array("features")).collect()
+
+
 def test_counts_named_one_by_one_are_those_of_all_steps(spark):
     bounds = {s: (0, 9 + i) for i, s in enumerate(STATS)}
     game = ", ".join(f"'{p}{s}', cast((id * {3 + i} + k) % 10 as int)" for p in ("", "opp_") for i, s in enumerate(STATS))
